@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, quality, sharding, simhash, urls
+from . import decontamination, fingerprints, language, mixing, quality, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.expr(sharding.BYTES).alias("n_bytes"), "shard", "shard_bytes")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+    text = [F.concat_ws("", k).alias(k.replace("signature", "fingerprint")) for k in ("signature", "edited_signature")]
+    return found.select("doc_id", "n_chars", "edited_sha256", *text, "near_edited", "near_next")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.repetitions(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", F.expr("copies * size").alias("taken"))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
     "op4_sharding": op4_sharding,
+    "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
