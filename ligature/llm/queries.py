@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, mixing, quality, sharding, simhash, urls
+from . import decontamination, fingerprints, language, lines, mixing, quality, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.concat_ws(",", "removed").alias("removed"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_lines": op9_lines,
     "op10_urls": op10_urls,
 }
 
@@ -109,6 +115,23 @@ ORACLE_SQL: dict[str, str] = {
                CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
         FROM r
     """,
+    "op9_lines": f"""
+        WITH l AS (
+            SELECT doc_id, n - 1 AS n, parts[n] AS line FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+        ), u AS (
+            SELECT line, length(line) AS size, min(CAST(doc_id AS HUGEINT) * 4294967296 + n) AS first FROM l WHERE trim(line, ' ') <> '' GROUP BY line
+        ), near AS (
+            SELECT DISTINCT b.line FROM u a, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) r, u b
+            WHERE b.size = a.size + r.d AND a.size >= {lines.LEAST} AND b.size >= {lines.LEAST} AND a.first < b.first AND abs(len(string_split(a.line, 'e')) - len(string_split(b.line, 'e'))) <= 2
+              AND levenshtein(a.line, b.line) BETWEEN 1 AND {lines.THRESHOLD}
+        ), judged AS (
+            SELECT l.doc_id, l.n, near.line IS NOT NULL AS near, u.line IS NOT NULL AND (near.line IS NOT NULL OR u.first <> CAST(l.doc_id AS HUGEINT) * 4294967296 + l.n) AS removed
+            FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN near ON near.line = l.line
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, count(*) FILTER (near) AS n_near,
+               coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (removed), '') AS removed
+        FROM judged GROUP BY doc_id
+    """,
     "op8_decontamination": r"""
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
