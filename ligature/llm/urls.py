@@ -1,7 +1,7 @@
 """URL filters: rules by host and path first; where none fits, unigram Viterbi splits host and path into words, and a multinomial naive
 Bayes model of block and allow scores them.
 
-The unigram model counts the words of all pages; its VOCABULARY most frequent words are sent to the tasks. The naive Bayes model learns
+The unigram model counts the words of all pages; the most frequent, VOCABULARY at most, are sent to the tasks. The naive Bayes model learns
 from labelled seed addresses, a parameter. Words that no seed has say nothing.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import per_batch, stored
 
 VOCABULARY = 50_000
 LONGEST_WORD = 24
@@ -75,11 +75,18 @@ def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str]] = RULES
 
 
 def word_counts(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of all pages' visible text, ties by word."""
+    """The words of all pages' visible text that are as frequent as 2 ** k, for the least k by which there are at most `most` of them."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(f"length(word) between 2 and {LONGEST_WORD}")
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return {r["word"]: r["n"] for r in counts.collect()}
+    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    power = F.floor(F.log2("n")).cast("int")
+    left, least = most, 64
+    for k, n in sorted(((r["k"], r["n"]) for r in counts.groupBy(power.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = k
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= F.lit(float(2**least))).collect()}
 
 
 @dataclass
