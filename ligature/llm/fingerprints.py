@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLES = 32
-#: Buckets of consecutive doc_ids: rows in each, if there are no more than MOST_BUCKETS.
-BUCKET_ROWS, FAN = 1000, 32
-MOST_BUCKETS = FAN * FAN
+#: Rows in a bucket of consecutive doc_ids, and in a task, as far as doc_ids are spread evenly between quantiles, CELLS of them at most.
+BUCKET_ROWS, TASK_ROWS, FAN = 500, 2000, 32
+CELLS = FAN * FAN
 _TRIMMED = "trim(BOTH '\\t\\n\\u000b\\f\\r ' FROM {0})"
 TERMS = f"transform(split({_TRIMMED}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> xxhash64(w))"
 
@@ -73,25 +73,32 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
-    """doc_id, text ('' for null) and bucket: ranges of doc_id in order, of like numbers of rows; null is in -1, the last when descending."""
+    """doc_id, text ('' for null) and bucket: ranges of doc_id in order, of like numbers of rows; null is in -1, the last when descending.
+
+    Quantiles divide doc_ids into cells, which a search of two steps finds; where these would hold too many rows they are cut evenly.
+    """
     n = docs.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    at = [i / buckets for i in range(1, buckets)]
-    bounds = docs.select(F.percentile_approx("doc_id", at, 20 * MOST_BUCKETS)).first()[0] if at else []
-    bounds = sorted(set(bounds or []))
-    lists = [bounds[i : i + FAN] for i in range(0, len(bounds), FAN)] or [[]]
+    cells = max(1, min(CELLS, n // BUCKET_ROWS))
+    parts = max(1, -(-n // (cells * BUCKET_ROWS)))
+    at = [i / cells for i in range(cells + 1)]
+    bounds = sorted(set(docs.select(F.percentile_approx("doc_id", at, 20 * CELLS)).first()[0] or [0]))
+    lists = [bounds[i : i + FAN] for i in range(0, len(bounds), FAN)]
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
     below = lambda values: F.size(F.filter(values, lambda b: F.col("doc_id") >= b))
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
-    if len(lists) > 1:
-        outer = below(longs([x[0] for x in lists[1:]]))
-        bucket = outer * FAN + below(F.get(F.array(*[longs(x) for x in lists]), outer))
-    else:
-        bucket = below(longs(lists[0]))
-    return docs.select(F.when(F.col("doc_id").isNull(), -1).otherwise(bucket).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    outer = F.greatest(below(longs([x[0] for x in lists])) - 1, F.lit(0))
+    cell = F.greatest(outer * FAN + below(F.get(F.array(*[longs(x) for x in lists]), outer)) - 1, F.lit(0))
+    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), cell.cast("long").alias("cell"))
+    if parts > 1:
+        low, high = (F.get(longs(x), F.col("cell").cast("int")).cast("double") for x in (bounds, [*bounds[1:], bounds[-1] + 1]))
+        inner = F.floor((F.col("doc_id") - low) / (high - low) * parts).cast("long")
+        placed = placed.withColumn("cell", F.col("cell") * parts + F.least(F.greatest(inner, F.lit(0)), F.lit(parts - 1)))
+    dealt = placed.select(F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("cell")).alias("bucket"), "doc_id", "text")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(max(least, n // TASK_ROWS), "bucket")
 
 
 def _first_of_next(heads: DataFrame) -> DataFrame:
-    """(bucket, then) for each bucket: the bucket whose rows follow its own when descending; the first follows the last. MOST_BUCKETS rows."""
+    """(bucket, then) for each bucket: the bucket whose rows follow its own when descending; the first follows the last. A row a bucket."""
     down = W.orderBy(F.desc("bucket"))
     return heads.select("bucket", F.coalesce(F.lead("bucket").over(down), F.first("bucket").over(down)).alias("then"))
 
@@ -105,9 +112,9 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     rows = _bucketed(docs.select(F.col("doc_id").cast("long"), "text"))
     own = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    heads = stored(own, "heads").limit(MOST_BUCKETS + 1)
+    heads = stored(own, "heads")
     then = _first_of_next(heads)
-    named = F.broadcast(heads.select(F.col("bucket").alias("_bucket"), "head"))
+    named = heads.select(F.col("bucket").alias("_bucket"), "head")
     texts = rows.join(named, (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("bucket").agg(F.min("text").alias("first_text"))
     follow = then.join(texts.withColumnRenamed("bucket", "then"), "then").select("bucket", "first_text")
 
