@@ -4,14 +4,15 @@ Within THRESHOLD edits at least one of THRESHOLD + 1 segments of a line stands u
 listed by its own segments, and looked up by the substrings that a segment of a line of its length, or of up to THRESHOLD less, can have
 become (multi-match-aware positions). Candidates are verified by the edit distance in a band of THRESHOLD.
 
-Lines travel as hashes. Copies of a line collapse before the join: lines with more than USUAL copies enter it from their first place only.
-A packed count of common letters travels with each hash: an edit changes it by two at most, so the join drops most lines that merely share
-a segment before it makes a row of them.
+Lines travel as hashes, and keys that one line alone has go no further. Copies of a line collapse before: lines with more than USUAL
+copies come from their first place only. The others meet with their texts; in the join, counts of common letters (an edit changes them by
+two at most) are compared before the edit distance, and only lines within it make a row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -46,20 +47,20 @@ def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
 
 
 def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
-    """Of a line (and its length): the hashes under which it is listed, and those under which it looks for lines as long or shorter."""
-    line, length = F.col("line"), F.col("length")
-
-    def key(of: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(of, F.lit(i), F.substring(line, start, size))
-
-    listed = [key(length, i, *_segment(length, i, threshold)) for i in range(threshold + 1)]
-    sought = []
+    """Of a line (and its length): the hashes under which it is listed, and the others under which it looks for lines as long or shorter."""
+    length = F.col("length")
+    # a segment with room for its moves, so that moves are not counted out from the line's start
+    parts = {}
     for less in range(threshold + 1):
         for i in range(threshold + 1):
             start, size = _segment(length - less, i, threshold)
             low, high = max(-i, less - (threshold - i)), min(i, less + threshold - i)
-            sought += [F.when(length - less >= LEAST, key(length - less, i, start + move, size)) for move in range(low, high + 1)]
-    return listed, sought
+            around = F.substring("line", start + low, size + (high - low))
+            for move in range(low, high + 1):
+                own = F.substring(around, F.lit(1 + move - low), size) if high > low else around
+                parts[less, i, move] = F.when(length - less >= LEAST, F.xxhash64(length - less, F.lit(i), own))
+    listed = [parts.pop((0, i, 0)) for i in range(threshold + 1)]
+    return listed, list(parts.values())
 
 
 def _letters() -> Column:
@@ -86,27 +87,32 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def candidates(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) hashes of lines that share a segment in its place and differ little in letters, a < b; once each."""
+def shared_keys(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(key, id, sought) of all lines with a key that another line has too: id is a hash of the line, sought whether it only looks for it."""
     lines = _spoken(lines_of(docs)).where(F.length("line") >= LEAST).withColumn("place", F.expr(_PLACE))
-    hot = _small(stored(firsts.where(f"copies > {USUAL}").select(F.col("h").alias("_h"), F.col("first").alias("_first")), "hot-lines"))
+    hot = _small(firsts.where(f"copies > {USUAL}").select(F.col("h").alias("_h"), F.col("first").alias("_first")))
     lines = lines.join(hot, F.col("h") == F.col("_h"), "left").where("_first is null or place = _first")
     listed, sought = _keys(threshold)
-    measured = lines.select("h", "line", F.length("line").alias("length"), _letters().alias("letters"))
-    own = measured.select("h", "letters", F.explode(F.array(*listed)).alias("key"))
-    other = measured.select(F.col("h").alias("h2"), F.col("letters").alias("letters2"), F.explode(F.array(*sought)).alias("key")).where("key is not null")
-    met = own.join(other, (own["key"] == other["key"]) & (F.col("h") != F.col("h2")) & (_apart("letters", "letters2") <= 2 * threshold))
-    return met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
+    measured = lines.select("h", "line", F.length("line").alias("length"))
+    rows = measured.select("h", F.posexplode(F.array(*listed, *sought)).alias("at", "key")).where("key is not null")
+    # the last bit of h gives way to the kind of key, so that a row is two numbers
+    rows = rows.select("key", F.shiftleft(F.shiftrightunsigned("h", 1), 1).bitwiseOR((F.col("at") >= len(listed)).cast("long")).alias("h"))
+    group = W.partitionBy("key")
+    several = rows.select("key", "h", F.min("h").over(group).alias("low"), F.max("h").over(group).alias("high")).where("shiftrightunsigned(low, 1) <> shiftrightunsigned(high, 1)")
+    return several.select("key", F.shiftrightunsigned("h", 1).alias("id"), F.expr("h & 1 = 1").alias("sought")).distinct()
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(line_a, line_b) texts of distinct lines within threshold edits."""
-    pairs = stored(candidates(docs, firsts, threshold), "line-pairs")
-    wanted = _small(pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct())
-    texts = _spoken(lines_of(docs)).where(F.length("line") >= LEAST).join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h", "line").agg(F.lit(1).alias("_one"))
-    texts = stored(texts.select("h", "line"), "line-texts")
-    a, b = (texts.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a", "line_b", threshold) > 0).select("line_a", "line_b")
+    """(line_a, line_b) texts of distinct lines within threshold edits; a pair may come more than once."""
+    keys = stored(shared_keys(docs, firsts, threshold), "line-keys")
+    wanted = _small(keys.select(F.col("id").alias("_id")).distinct())
+    lines = _spoken(lines_of(docs)).where(F.length("line") >= LEAST).withColumn("id", F.shiftrightunsigned("h", 1))
+    texts = lines.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id", "line").agg(F.lit(1).alias("_one"))
+    met = stored(keys.join(texts.select("id", "line", _letters().alias("letters")), "id"), "line-texts")
+    a = met.where("not sought").select("key", F.col("line").alias("line_a"), F.col("letters").alias("letters_a"))
+    b = met.select(F.col("key").alias("key_b"), F.col("line").alias("line_b"), F.col("letters").alias("letters_b"))
+    alike = (F.col("key") == F.col("key_b")) & (F.col("line_a") != F.col("line_b")) & (_apart("letters_a", "letters_b") <= 2 * threshold)
+    return a.join(b, alike & (F.levenshtein("line_a", "line_b", threshold) >= 0)).select("line_a", "line_b")
 
 
 def judged_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -118,7 +124,7 @@ def judged_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     firsts = stored(firsts, "first-lines")
     pairs = near_lines(docs, firsts, threshold)
     hashes = [F.xxhash64(f"line_{k}").alias(f"h_{k}") for k in "ab"] + [F.xxhash64(F.lit(1), f"line_{k}").alias(f"g_{k}") for k in "ab"]
-    pairs = stored(pairs.select(*hashes), "near-lines")
+    pairs = stored(pairs.select(*hashes).distinct(), "near-lines")
     for k in "ab":
         pairs = pairs.join(firsts.select(F.col("h").alias(f"h_{k}"), F.col("g").alias(f"g_{k}"), F.col("first").alias(f"first_{k}")), [f"h_{k}", f"g_{k}"])
     later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("h_a").alias("h"), F.col("g_a").alias("g"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("g_b").alias("g")))
