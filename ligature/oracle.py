@@ -92,7 +92,7 @@ def _jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len({x}) > 0 AND len({y}) > 0 THEN len(list_intersect(list_distinct({x}), list_distinct({y}))) / len(list_distinct(list_concat({x}, {y}))) END"
 
 
-CTE["dec"] = ("cand", f"SELECT s1, c, blk_rank, blk_score, c_is_s3, round(0.7::DOUBLE * coalesce({_jaccard('qn', 'cn')}, 0) + 0.3::DOUBLE * coalesce({_jaccard('qa', 'ca')}, 0), 6) AS p, qn = cn AND qa = ca AND qn <> '' AS label FROM cand")
+CTE["dec"] = ("cand", f"SELECT s1, c, blk_rank, blk_score, c_is_s3, round(0.7::DOUBLE * coalesce({_jaccard('qn', 'cn')}, 0) + 0.3::DOUBLE * coalesce({_jaccard('qa', 'ca')}, 0) + 1e-9::DOUBLE, 6) AS p, qn = cn AND qa = ca AND qn <> '' AS label FROM cand")
 CTE["ntrue"] = (
     "prep",
     """SELECT q.entity_id AS s1, coalesce(n, 0) AS n_true FROM prep q LEFT JOIN (SELECT country, name_core, addr_norm, count(*) AS n FROM prep WHERE entity_id[1:2] <> 'S1' AND name_core <> '' GROUP BY 1, 2, 3) x
@@ -154,10 +154,10 @@ CTE["weights"] = (
 CTE["wide"] = (
     "topk side",
     """SELECT s1, cand, coalesce(max(score) FILTER (r = 'n'), 0.0) AS blk_name_cos, coalesce(max(score) FILTER (r = 'f'), 0.0) AS blk_full_cos, coalesce(max(score) FILTER (r = 'k'), 0.0) AS key_acronym FROM (
-            SELECT s1, c AS cand, round(blk_name / max(blk_score) OVER (PARTITION BY s1), 6) AS score, 'n' AS r, blk_name > 0 AS kept FROM topk
-            UNION ALL SELECT s1, c, round(blk_score / max(blk_score) OVER (PARTITION BY s1), 6), 'f', true FROM topk
-            UNION ALL SELECT a.entity_id, b.entity_id, 1.0, 'k', true FROM side a JOIN side b ON a.acronym = b.acronym AND a.ckey = b.ckey WHERE a.source = 'S1' AND b.source <> 'S1' AND a.acronym <> '' AND a.ckey <> '')
-        WHERE score > 0 AND kept GROUP BY 1, 2""",
+            SELECT s1, c AS cand, round(blk_name / max(blk_score) OVER (PARTITION BY s1), 6) AS score, 'n' AS r FROM topk
+            UNION ALL SELECT s1, c, round(blk_score / max(blk_score) OVER (PARTITION BY s1), 6), 'f' FROM topk
+            UNION ALL SELECT a.entity_id, b.entity_id, 1.0, 'k' FROM side a JOIN side b ON a.acronym = b.acronym AND a.ckey = b.ckey WHERE a.source = 'S1' AND b.source <> 'S1' AND a.acronym <> '' AND a.ckey <> '')
+        WHERE score > 0 GROUP BY 1, 2""",
 )
 _COUNT = "CAST(CAST(blk_name_cos > 0 AS INT) + CAST(blk_full_cos > 0 AS INT) + CAST(key_acronym > 0 AS INT) AS BIGINT)"
 CTE["best"] = (
@@ -199,6 +199,7 @@ def _simple(cte: str, columns: str) -> str:
 
 _LEN = lambda x: f"CAST(CASE WHEN {x} = '' THEN 0 ELSE len(string_split({x}, ' ')) END AS DOUBLE)"
 
+_BYTES = "regexp_replace({0}, '[^\\x00-\\x7F]', '#', 'g')"
 SQL: dict[str, str] = {
     "norm_clean": _simple("rec", f"entity_id, {_clean('business_name')} AS name, {_clean('business_address')} AS address"),
     "norm_expand": _simple("norm", "entity_id, name, address"),
@@ -227,7 +228,7 @@ SQL: dict[str, str] = {
     "key_join_acronym": _with("side") + "SELECT a.entity_id AS s1, b.entity_id AS cand FROM side a JOIN side b ON a.acronym = b.acronym AND a.ckey = b.ckey WHERE a.source = 'S1' AND b.source <> 'S1' AND a.acronym <> ''",
     "retriever_pivot": _simple("wide", f"*, {_COUNT} AS n_retrievers"),
     "retriever_topk": _simple("best", "*"),
-    "sim_jaro_winkler": _simple("cand", "s1, c, round(CASE WHEN qn = cn THEN 1.0 ELSE jaro_winkler_similarity(qn, cn) END, 6) AS name_jw"),
+    "sim_jaro_winkler": _simple("cand", f"s1, c, round(CASE WHEN {_BYTES.format('qn')} = {_BYTES.format('cn')} THEN 1.0 ELSE jaro_winkler_similarity({_BYTES.format('qn')}, {_BYTES.format('cn')}) END, 6) AS name_jw"),
     "sim_jaccard": _simple("cand", f"s1, c, round({_jaccard('qn', 'cn')}, 6) AS name_jacc, round({_jaccard('qa', 'ca')}, 6) AS addr_jacc"),
     "feat_gaps": _with("cand") + f"""SELECT s1, c, round(max(blk_score) OVER w - blk_score, 6) AS blk_score_gap, round(blk_score / max(blk_score) OVER w, 6) AS blk_score_rel, CAST(count(*) OVER w AS DOUBLE) AS n_cands,
         CAST(qn = '' OR cn = '' AS DOUBLE) AS name_either_empty, CAST(qf = cf AND qf >= 0 AS DOUBLE) AS first_num_eq, CAST(qf < 0 OR cf < 0 AS DOUBLE) AS first_num_missing, {_LEN('qn')} AS q_name_ntok, {_LEN('cn')} AS c_name_ntok,
@@ -244,7 +245,7 @@ SQL: dict[str, str] = {
                 CAST(l.addr = '' AS DOUBLE) + CAST(r.addr = '' AS DOUBLE) AS addr_missing, CAST(r.source = 'S3' AS DOUBLE) AS is_s3, blk_name_cos
             FROM best b JOIN (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(addr, '[0-9]+'))), ' ') AS nums FROM side) l ON l.entity_id = b.s1
             JOIN (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(addr, '[0-9]+'))), ' ') AS nums FROM side) r ON r.entity_id = b.cand
-        ), g AS (SELECT *, round(0.7::DOUBLE * coalesce(num_jacc, 0) + 0.3::DOUBLE * blk_name_cos, 6) AS ctx_base FROM f)
+        ), g AS (SELECT *, round(0.7::DOUBLE * coalesce(num_jacc, 0) + 0.3::DOUBLE * blk_name_cos + 1e-9::DOUBLE, 6) AS ctx_base FROM f)
         SELECT s1, cand, core_exact, legal_match, acr_match, first_tok_eq, len_ratio, postal_state, round(num_jacc, 6) AS num_jacc, addr_missing, is_s3, ctx_base, CAST(rank() OVER (PARTITION BY s1 ORDER BY ctx_base DESC) AS DOUBLE) AS ctx_rank_in_s1,
             round(max(ctx_base) OVER (PARTITION BY s1) - ctx_base, 6) AS ctx_gap_to_best, CAST(count(*) FILTER (ctx_base > 0.8) OVER (PARTITION BY s1) AS DOUBLE) AS ctx_n_strong,
             CAST(rank() OVER (PARTITION BY cand ORDER BY ctx_base DESC) AS DOUBLE) AS ctx_rank_in_cand, round(max(ctx_base) OVER (PARTITION BY cand) - ctx_base, 6) AS ctx_gap_cand_best FROM g""",

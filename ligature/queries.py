@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import plain_text, text
 from .functions import similarity as sim
-from .functions.vocabulary import ABBREVIATIONS, ADDRESS_WORDS, ADDRESS_WORDS_BY_COUNTRY, LEGAL_SUFFIXES, NAME_STOPWORDS, NAME_WORDS
 from .operators import char_grams, decisions, labels, metrics, models, pair_features, plain_features, retrieval, validation
 from .sources import tables
 
@@ -57,7 +57,8 @@ def decided_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     pairs, queries, corpus = candidates(spark, sf_dir)
     q = queries.select(F.col("entity_id").alias("s1"), F.col("name_core").alias("qn"), F.col("addr_norm").alias("qa"))
     c = corpus.select(F.col("entity_id").alias("c"), F.col("name_core").alias("cn"), F.col("addr_norm").alias("ca"), F.col("is_s3").alias("c_is_s3"))
-    p = F.round(0.7 * F.coalesce(sim.jaccard(F.col("qn"), F.col("cn")), F.lit(0.0)) + 0.3 * F.coalesce(sim.jaccard(F.col("qa"), F.col("ca")), F.lit(0.0)), 6)
+    # the last addend keeps ties of the seventh digit from being rounded either way
+    p = F.round(0.7 * F.coalesce(sim.jaccard(F.col("qn"), F.col("cn")), F.lit(0.0)) + 0.3 * F.coalesce(sim.jaccard(F.col("qa"), F.col("ca")), F.lit(0.0)) + 1e-9, 6)
     both = pairs.join(q, "s1").join(c, "c")
     scored = both.select("s1", "c", "blk_rank", "blk_score", "c_is_s3", p.alias("p"), ((F.col("qn") == F.col("cn")) & (F.col("qa") == F.col("ca")) & (F.col("qn") != "")).alias("label"))
     return scored, true_counts(queries, corpus)
@@ -76,16 +77,19 @@ def truth(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return a.join(corpus.select(F.col("entity_id").alias("c"), *on), on).select("s1", "c")
 
 
-def _select(*columns: str, **more) -> Query:
+def _select(columns: Callable[[], dict[str, Column]]) -> Query:
+    """Columns of the raw records: made when the query is, as they need a session."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return records(spark, sf_dir).select("entity_id", *columns, *[c.alias(k) for k, c in more.items()])
+        return records(spark, sf_dir).select("entity_id", *[c.alias(k) for k, c in columns().items()])
 
     return query
 
 
-def _of_prepared(*columns) -> Query:
+def _of_prepared(name: str, kind: str | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tables.prepare_records(records(spark, sf_dir)).select("entity_id", *columns)
+        column = F.col(name).cast(kind) if kind else F.col(name)
+        return tables.prepare_records(records(spark, sf_dir)).select("entity_id", column.alias(name))
 
     return query
 
@@ -149,11 +153,10 @@ def key_join(*on: str) -> Query:
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pivot of the retrievers that meet by words and exact keys; the n-gram retrievers have queries of their own."""
     left, right = plain_sides(spark, sf_dir)
-    pairs = candidates(spark, sf_dir)[0]
-    most = F.max("blk_score").over(pair_features.W.partitionBy("s1"))
+    pairs = candidates(spark, sf_dir)[0].withColumn("most", F.max("blk_score").over(W.partitionBy("s1")))
     both = {
-        "blk_name_cos": pairs.where("blk_name > 0").select("s1", F.col("c").alias("cand"), F.round(F.col("blk_name") / most, 6).alias("score")),
-        "blk_full_cos": pairs.select("s1", F.col("c").alias("cand"), F.round(F.col("blk_score") / most, 6).alias("score")),
+        "blk_name_cos": pairs.select("s1", F.col("c").alias("cand"), F.round(F.col("blk_name") / F.col("most"), 6).alias("score")),
+        "blk_full_cos": pairs.select("s1", F.col("c").alias("cand"), F.round(F.col("blk_score") / F.col("most"), 6).alias("score")),
         "key_acronym": char_grams.key_pairs(left, right, ["acronym"]).withColumn("score", F.lit(1.0)),
     }
     return char_grams.pivoted(both)
@@ -172,6 +175,11 @@ def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_features.joined(pairs, queries, corpus)
 
 
+def _single_bytes(text: Column) -> Column:
+    """Other letters than ASCII alike, as the SQL function compares bytes."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", "#")
+
+
 def similarity(**columns) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pair_texts(spark, sf_dir).select("s1", "c", *[F.round(f(F.col(f"q_{field}"), F.col(f"c_{field}")), 6).alias(k) for k, (f, field) in columns.items()])
@@ -198,7 +206,7 @@ def feat_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feat_plain_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = plain_sides(spark, sf_dir)
     both = plain_features.sided(char_grams.best_candidates(retrieved(spark, sf_dir)), left, right).withColumns(plain_features.structure())
-    base = F.round(0.7 * F.coalesce("num_jacc", F.lit(0.0)) + 0.3 * F.col("blk_name_cos"), 6)
+    base = F.round(0.7 * F.coalesce("num_jacc", F.lit(0.0)) + 0.3 * F.col("blk_name_cos") + 1e-9, 6)
     names = ["core_exact", "legal_match", "acr_match", "first_tok_eq", "len_ratio", "postal_state", "num_jacc", "addr_missing", "is_s3", "ctx_base", "ctx_rank_in_s1", "ctx_gap_to_best", "ctx_n_strong", "ctx_rank_in_cand", "ctx_gap_cand_best"]
     return plain_features.context(both, base).select("s1", "cand", *[F.round(k, 6).alias(k) for k in names])
 
@@ -315,19 +323,19 @@ def gbt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "norm_clean": _select(name=text.clean(F.col("business_name")), address=text.clean(F.col("business_address"))),
-    "norm_expand": _select(name=text.normalize(F.col("business_name")), address=text.normalize(F.col("business_address"))),
+    "norm_clean": _select(lambda: {"name": text.clean(F.col("business_name")), "address": text.clean(F.col("business_address"))}),
+    "norm_expand": _select(lambda: {"name": text.normalize(F.col("business_name")), "address": text.normalize(F.col("business_address"))}),
     "norm_core": _of_prepared("name_core"),
     "norm_numbers": _of_prepared("addr_nums"),
     "norm_first_number": _of_prepared("addr_first_num"),
-    "norm_non_ascii": _select(share=F.round(text.non_ascii_share(F.col("business_name")), 6)),
-    "norm_tokens": _of_prepared(F.col("name_ntok").cast("int").alias("name_ntok")),
+    "norm_non_ascii": _select(lambda: {"share": F.round(text.non_ascii_share(F.col("business_name")), 6)}),
+    "norm_tokens": _of_prepared("name_ntok", "int"),
     "norm_country": _of_prepared("country"),
-    "plain_clean": _select(name=plain_text.basic_clean(F.col("business_name")), country_key=plain_text.country_key(F.col("country"))),
-    "plain_name_parts": _select(**{k: plain_text.name_parts(F.col("business_name"))[k] for k in ("full", "core", "legal")}),
-    "plain_address": _select(address=plain_text.plain_address(F.col("business_address"), F.when(F.col("country") == "fr", "France").otherwise("India"))),
-    "plain_postal": _select(postal=plain_text.postal_code(F.concat_ws(" ", "business_address", F.substring("entity_id", 6, 8)))),
-    "plain_acronym": _select(acronym=plain_text.acronym(plain_text.basic_clean(F.col("business_name"))), first_tok=plain_text.first_token(plain_text.basic_clean(F.col("business_name")))),
+    "plain_clean": _select(lambda: {"name": plain_text.basic_clean(F.col("business_name")), "country_key": plain_text.country_key(F.col("country"))}),
+    "plain_name_parts": _select(lambda: {k: plain_text.name_parts(F.col("business_name"))[k] for k in ("full", "core", "legal")}),
+    "plain_address": _select(lambda: {"address": plain_text.plain_address(F.col("business_address"), F.when(F.col("country") == "fr", "France").otherwise("India"))}),
+    "plain_postal": _select(lambda: {"postal": plain_text.postal_code(F.concat_ws(" ", "business_address", F.substring("entity_id", 6, 8)))}),
+    "plain_acronym": _select(lambda: {"acronym": plain_text.acronym(plain_text.basic_clean(F.col("business_name"))), "first_tok": plain_text.first_token(plain_text.basic_clean(F.col("business_name")))}),
     "keys_name": keys("n"),
     "keys_addr": keys("a"),
     "block_df_idf": block_df_idf,
@@ -340,7 +348,7 @@ QUERIES: dict[str, Query] = {
     "key_join_acronym": key_join("acronym"),
     "retriever_pivot": retriever_pivot,
     "retriever_topk": retriever_topk,
-    "sim_jaro_winkler": similarity(name_jw=(sim.winkler, "name_core")),
+    "sim_jaro_winkler": similarity(name_jw=(lambda a, b: sim.winkler(_single_bytes(a), _single_bytes(b)), "name_core")),
     "sim_jaccard": similarity(name_jacc=(sim.jaccard, "name_core"), addr_jacc=(sim.jaccard, "addr_norm")),
     "sim_indel": similarity(name_ratio=(sim.ratio, "name_core")),
     "sim_token_sort": similarity(name_token_sort=(sim.token_sort, "name_core")),
