@@ -67,4 +67,4 @@ def mixed(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     rates = targets.select(F.col("source").alias("of"), F.expr("if(source_size = 0, 0D, target / source_size)").alias("rate"))
     found = docs.join(rates, docs["source"].eqNullSafe(rates["of"]))
     copies = F.floor(rates["rate"]).cast("int") + F.when(F.expr(DRAW.format(seed=seed)) < rates["rate"] - F.floor(rates["rate"]), 1).otherwise(0)
-    return found.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select(*docs.columns)
+    return found.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("row.*")

@@ -162,7 +162,7 @@ def fit_quality_model(rows: DataFrame) -> QualityModel:
             bins = np.clip((z + 3) / 6 * BINS, 0, BINS - 1).astype(np.int64)
             for kind, chosen in ((False, bins), (True, bins[np.array(batch.column("positive"))])):
                 at, n = np.unique(chosen, return_counts=True)
-                yield pa.record_batch({"kind": [kind] * len(at), "bin": at, "n": n})
+                yield pa.record_batch({"kind": pa.array([kind] * len(at), pa.bool_()), "bin": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
 
     sent = learn.select("positive", "x").mapInArrow(counted, "kind boolean, bin long, n long")
     bins = np.zeros((2, BINS))
