@@ -54,7 +54,7 @@ def _with(*names: str) -> str:
 CTE["rec"] = (
     "",
     f"""SELECT printf('S%d-%010d-%05d', doc_id % 3 + 1, doc_id, n - 1) AS entity_id, regexp_extract(line, '{NAME}', 0) AS business_name,
-        CAST(length(line) % 1000 AS VARCHAR) || ' ' || substr(line, length(regexp_extract(line, '{NAME}', 0)) + 1) AS business_address, coalesce(lang, '') AS country
+        CAST(length(line) % 1000 AS VARCHAR) || ' ' || substr(line, length(regexp_extract(line, '{NAME}', 0)) + 1) || ' ' || CAST(10000 + length(line) % 1000 AS VARCHAR) AS business_address, coalesce(lang, '') AS country
         FROM (SELECT doc_id, lang, n, parts[n] AS line FROM (SELECT doc_id, lang, parts, unnest(generate_series(1, len(parts))) AS n FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))""",
 )
 CTE["norm"] = ("rec", f"SELECT *, array_to_string({_replaced(_clean('business_name'), ABBREVIATIONS)}, ' ') AS name, array_to_string({_replaced(_clean('business_address'), ABBREVIATIONS)}, ' ') AS address FROM rec")

@@ -1,7 +1,7 @@
 """The linkage queries over the given tables, and their SQL.
 
 Every line of every document is a record: its document deals it to a source, its language is the country, its first six words
-its name, its length and the rest its address. Records alike in all three are taken as matches.
+its name, the rest its address, between two numbers from its length. Records alike in all three are taken as matches.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         F.format_string("S%d-%010d-%05d", F.col("doc_id") % 3 + 1, "doc_id", "n").alias("entity_id"),
         name.alias("business_name"),
-        F.concat_ws(" ", (F.length("line") % 1000).cast("string"), F.substring("line", F.length(name) + 1, F.length("line"))).alias("business_address"),
+        F.concat_ws(" ", (F.length("line") % 1000).cast("string"), F.substring("line", F.length(name) + 1, F.length("line")), (10000 + F.length("line") % 1000).cast("string")).alias("business_address"),
         F.coalesce("lang", F.lit("")).alias("country"),
     )
 
