@@ -34,8 +34,10 @@ def _decomposed(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, "NFKD")
 
 
-def words_map(words: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for item in words.items() for x in item])
+def looked_up(word: Column, table: Mapping[str, str]) -> Column:
+    """What table has for the word, or null. The set is hashed; the map, which is not, is asked for words that it has."""
+    known = F.create_map(*[F.lit(x) for item in table.items() for x in item])
+    return F.when(word.isin(*table), F.try_element_at(known, word))
 
 
 def strip_accents(text: Column) -> Column:
@@ -49,8 +51,7 @@ def tokens(text: Column) -> Column:
 
 
 def replaced(words: Column, table: Mapping[str, str]) -> Column:
-    known = words_map(table)
-    return F.transform(words, lambda t: F.coalesce(F.try_element_at(known, t), t))
+    return F.transform(words, lambda t: F.coalesce(looked_up(t, table), t))
 
 
 def clean(text: Column) -> Column:
@@ -68,8 +69,7 @@ def normalize(text: Column) -> Column:
 
 
 def core_name(normalized: Column, stop: list[str] = NAME_STOPWORDS) -> Column:
-    words = F.array(*[F.lit(w) for w in stop])
-    return F.array_join(F.filter(tokens(normalized), lambda t: ~F.array_contains(words, t)), " ")
+    return F.array_join(F.filter(tokens(normalized), lambda t: ~t.isin(*stop)), " ")
 
 
 def number_tokens(normalized: Column) -> Column:

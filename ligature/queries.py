@@ -26,7 +26,7 @@ RULE = {"type": "threshold", "t_all": 0.7, "t_top": 0.3}
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
     lines = docs.select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
     name = F.regexp_extract("line", NAME, 0)
     return lines.select(

@@ -13,6 +13,12 @@ from ..functions import text
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files make fewer tasks than these; larger inputs are read as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All columns as strings, nothing quoted, empty fields as '' (Spark reads them as null)."""
     reader = spark.read.options(sep="\t", header=True, quote="", escape="", encoding="UTF-8", mode="PERMISSIVE")
