@@ -47,20 +47,19 @@ def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
 
 
 def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
-    """Of a line (and its length): the hashes under which it is listed, and the others under which it looks for lines as long or shorter."""
+    """Of a line (its bytes raw, its length, and whether it is ascii): the hashes under which it is listed, and the others under which it
+    looks for lines as long or shorter. In ASCII places are bytes, which need no counting of characters from the start."""
     length = F.col("length")
-    # a segment with room for its moves, so that moves are not counted out from the line's start
-    parts = {}
+    keys = {}
     for less in range(threshold + 1):
         for i in range(threshold + 1):
             start, size = _segment(length - less, i, threshold)
-            low, high = max(-i, less - (threshold - i)), min(i, less + threshold - i)
-            around = F.substring("line", start + low, size + (high - low))
-            for move in range(low, high + 1):
-                own = F.substring(around, F.lit(1 + move - low), size) if high > low else around
-                parts[less, i, move] = F.when(length - less >= LEAST, F.xxhash64(length - less, F.lit(i), own))
-    listed = [parts.pop((0, i, 0)) for i in range(threshold + 1)]
-    return listed, list(parts.values())
+            for move in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
+                own = F.when(F.col("ascii"), F.substring("raw", start + move, size)).otherwise(F.substring("line", start + move, size).cast("binary"))
+                key = F.xxhash64((length - less) * (threshold + 1) + i, own)
+                keys[less, i, move] = F.when(length - less >= LEAST, key) if less else key
+    listed = [keys.pop((0, i, 0)) for i in range(threshold + 1)]
+    return listed, list(keys.values())
 
 
 def _letters() -> Column:
@@ -93,7 +92,7 @@ def shared_keys(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
     hot = _small(firsts.where(f"copies > {USUAL}").select(F.col("h").alias("_h"), F.col("first").alias("_first")))
     lines = lines.join(hot, F.col("h") == F.col("_h"), "left").where("_first is null or place = _first")
     listed, sought = _keys(threshold)
-    measured = lines.select("h", "line", F.length("line").alias("length"))
+    measured = lines.select("h", "line", F.col("line").cast("binary").alias("raw"), F.length("line").alias("length"), (F.length("line") == F.octet_length("line")).alias("ascii"))
     rows = measured.select("h", F.posexplode(F.array(*listed, *sought)).alias("at", "key")).where("key is not null")
     # the last bit of h gives way to the kind of key, so that a row is two numbers
     rows = rows.select("key", F.shiftleft(F.shiftrightunsigned("h", 1), 1).bitwiseOR((F.col("at") >= len(listed)).cast("long")).alias("h"))
