@@ -30,20 +30,40 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+#: Tables that stored() wrote and nobody has deleted yet.
+_written: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.discard(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """When the driver ends in good order, its tables go."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in sorted(_written):
+            _delete(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later plans start from files that outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Delete a table that stored() wrote, once no later plan reads it."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        name = file.split("/")[-2]
+        for path in [p for p in _written if p.endswith(f"/{name}")]:
+            _delete(df.sparkSession, path)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
