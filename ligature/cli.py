@@ -1,4 +1,4 @@
-"""python -m ligature.cli train | predict | prefilter | finalize | score | validate"""
+"""python -m ligature.cli train | predict | prefilter | finalize | score | validate | char-grams"""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import validation
-from .plans import linkage
+from .plans import char_grams, linkage
 from .sources import tables
 
 
@@ -38,6 +38,13 @@ def parser() -> argparse.ArgumentParser:
     check.add_argument("--candidates")
     check.add_argument("--source1", required=True)
     check.add_argument("--targets", nargs="*", default=[])
+    plain = sub.add_parser("char-grams")
+    for flag in ("--data", "--output"):
+        plain.add_argument(flag, required=True)
+    for flag, usual in (("--k-name", 30), ("--k-full", 20), ("--most", 60), ("--folds", 5), ("--rounds", 60)):
+        plain.add_argument(flag, type=int, default=usual)
+    plain.add_argument("--all-countries", action="store_true")
+    plain.add_argument("--train-only", action="store_true")
     return out
 
 
@@ -56,6 +63,8 @@ def main(args: list[str] | None = None) -> int:
         return report.exit_code
     if a.command == "train":
         out = linkage.train(spark, a.data, a.models, a.entities, a.seed, rounds=a.rounds)["decision"]
+    elif a.command == "char-grams":
+        out = char_grams.run(spark, a.data, a.output, a.k_name, a.k_full, a.most, not a.all_countries, a.folds, a.rounds, a.train_only)
     elif a.command == "prefilter":
         out = linkage.select_prefilter(spark, a.models)["prefilter_p1"]
     elif a.command == "score":
