@@ -170,6 +170,18 @@ def retriever_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return char_grams.best_candidates(retrieved(spark, sf_dir)).withColumn("n_retrievers", F.col("n_retrievers").cast("long"))
 
 
+def plain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidates of all four retrievers of the character-gram plan."""
+    return char_grams.plain_candidates(*plain_sides(spark, sf_dir)).withColumn("n_retrievers", F.col("n_retrievers").cast("long"))
+
+
+def plain_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the character-gram plan for its own candidates."""
+    left, right = (x.persist() for x in plain_sides(spark, sf_dir))
+    out = plain_features.plain_features(char_grams.plain_candidates(left, right), left, right)
+    return out.select("s1", "cand", *[F.round(k, 6).alias(k) for k in plain_features.PLAIN_COLUMNS])
+
+
 def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, queries, corpus = candidates(spark, sf_dir)
     return pair_features.joined(pairs, queries, corpus)
@@ -348,6 +360,8 @@ QUERIES: dict[str, Query] = {
     "key_join_acronym": key_join("acronym"),
     "retriever_pivot": retriever_pivot,
     "retriever_topk": retriever_topk,
+    "plain_candidates": plain_pairs,
+    "plain_features": plain_pair_features,
     "sim_jaro_winkler": similarity(name_jw=(lambda a, b: sim.winkler(_single_bytes(a), _single_bytes(b)), "name_core")),
     "sim_jaccard": similarity(name_jacc=(sim.jaccard, "name_core"), addr_jacc=(sim.jaccard, "addr_norm")),
     "sim_indel": similarity(name_ratio=(sim.ratio, "name_core")),
