@@ -46,7 +46,7 @@ def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return F.lit(i) * base + extra + 1, base + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
 
 
-def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
+def _keys(threshold: int, least: int) -> tuple[list[Column], list[Column]]:
     """Of a line (its bytes raw, its length, and whether it is ascii): the hashes under which it is listed, and the others under which it
     looks for lines as long or shorter. In ASCII places are bytes, which need no counting of characters from the start."""
     length = F.col("length")
@@ -57,7 +57,7 @@ def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
             for move in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
                 own = F.when(F.col("ascii"), F.substring("raw", start + move, size)).otherwise(F.substring("line", start + move, size).cast("binary"))
                 key = F.xxhash64((length - less) * (threshold + 1) + i, own)
-                keys[less, i, move] = F.when(length - less >= LEAST, key) if less else key
+                keys[less, i, move] = F.when(length - less >= least, key) if less else key
     listed = [keys.pop((0, i, 0)) for i in range(threshold + 1)]
     return listed, list(keys.values())
 
@@ -86,12 +86,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def shared_keys(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def shared_keys(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(key, id, sought) of all lines with a key that another line has too: id is a hash of the line, sought whether it only looks for it."""
-    lines = _spoken(lines_of(docs)).where(F.length("line") >= LEAST).withColumn("place", F.expr(_PLACE))
+    lines = _spoken(lines_of(docs)).where(F.length("line") >= least).withColumn("place", F.expr(_PLACE))
     hot = _small(firsts.where(f"copies > {USUAL}").select(F.col("h").alias("_h"), F.col("first").alias("_first")))
     lines = lines.join(hot, F.col("h") == F.col("_h"), "left").where("_first is null or place = _first")
-    listed, sought = _keys(threshold)
+    listed, sought = _keys(threshold, least)
     measured = lines.select("h", "line", F.col("line").cast("binary").alias("raw"), F.length("line").alias("length"), (F.length("line") == F.octet_length("line")).alias("ascii"))
     rows = measured.select("h", F.posexplode(F.array(*listed, *sought)).alias("at", "key")).where("key is not null")
     # the last bit of h gives way to the kind of key, so that a row is two numbers
@@ -101,11 +101,11 @@ def shared_keys(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
     return several.select("key", F.shiftrightunsigned("h", 1).alias("id"), F.expr("h & 1 = 1").alias("sought")).distinct()
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(line_a, line_b) texts of distinct lines within threshold edits; a pair may come more than once."""
-    keys = stored(shared_keys(docs, firsts, threshold), "line-keys")
+    keys = stored(shared_keys(docs, firsts, threshold, least), "line-keys")
     wanted = _small(keys.select(F.col("id").alias("_id")).distinct())
-    lines = _spoken(lines_of(docs)).where(F.length("line") >= LEAST).withColumn("id", F.shiftrightunsigned("h", 1))
+    lines = _spoken(lines_of(docs)).where(F.length("line") >= least).withColumn("id", F.shiftrightunsigned("h", 1))
     texts = lines.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id", "line").agg(F.lit(1).alias("_one"))
     met = stored(keys.join(texts.select("id", "line", _letters().alias("letters")), "id"), "line-texts")
     a = met.where("not sought").select("key", F.col("line").alias("line_a"), F.col("letters").alias("letters_a"))
@@ -114,14 +114,15 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -
     return a.join(b, alike & (F.levenshtein("line_a", "line_b", threshold) >= 0)).select("line_a", "line_b")
 
 
-def judged_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def judged_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(doc_id, text_hash, n, removed, near) for every line of docs. A line goes if its text, or one within threshold edits (near), has its
-    first place earlier: by doc_id, null last, then by number. Blank lines stay; lines under LEAST code points go for equal ones only."""
+    first place earlier: by doc_id, null last, then by number. Blank lines stay; lines under least code points go for equal ones only;
+    least is threshold + 1 or more, as each segment has a letter."""
     narrow = _spoken_or_not(lines_of(docs))
     narrow = stored(narrow, "lines")
     firsts = narrow.where("h is not null").groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
     firsts = stored(firsts, "first-lines")
-    pairs = near_lines(docs, firsts, threshold)
+    pairs = near_lines(docs, firsts, threshold, least)
     hashes = [F.xxhash64(f"line_{k}").alias(f"h_{k}") for k in "ab"] + [F.xxhash64(F.lit(1), f"line_{k}").alias(f"g_{k}") for k in "ab"]
     pairs = stored(pairs.select(*hashes).distinct(), "near-lines")
     for k in "ab":
@@ -138,12 +139,12 @@ def _spoken_or_not(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "text_hash", "n", F.when(told, F.xxhash64("line")).alias("h"), F.when(told, F.xxhash64(F.lit(1), "line")).alias("g"), F.expr(_PLACE).alias("place"))
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(doc_id, text_hash, n_lines, n_removed, n_near, removed) for every row of docs: removed has the numbers of the lines that go, in order.
 
     Null and empty texts are one blank line. Rows alike in doc_id and text can't be told apart: each gets the result of one of them.
     """
-    by_line = judged_lines(docs, threshold).groupBy("doc_id", "text_hash", "n").agg(F.max("removed").alias("removed"), F.max("near").alias("near"), F.count("*").alias("copies"))
+    by_line = judged_lines(docs, threshold, least).groupBy("doc_id", "text_hash", "n").agg(F.max("removed").alias("removed"), F.max("near").alias("near"), F.count("*").alias("copies"))
     numbers = F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("n"))))
     by_doc = by_line.groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.count_if("near").alias("n_near"), numbers.alias("removed"), F.max("copies").alias("copies")

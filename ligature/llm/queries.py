@@ -65,11 +65,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+def _line_numbers(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_near", F.concat_ws(",", "removed").alias("removed"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_numbers(lines.deduplicated(table(spark, sf_dir, "documents")))
+
+
+def op9_lines_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_lines, with the edit distance for all lines that the method can compare."""
+    return _line_numbers(lines.deduplicated(table(spark, sf_dir, "documents"), least=lines.THRESHOLD + 1))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -84,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_lines": op9_lines,
+    "op9_lines_short": op9_lines_short,
     "op10_urls": op10_urls,
 }
 
