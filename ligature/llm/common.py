@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -66,6 +67,15 @@ def drop_stored(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+#: Rows up to which a table of a few numbers a row is broadcast (some 20 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a hint to broadcast it, if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives no bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

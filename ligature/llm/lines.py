@@ -15,15 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 THRESHOLD = 2
 #: Code points from which lines are compared by edit distance; shorter ones by equality.
 LEAST = 30
 USUAL = 32
 LETTERS = "etnairso"
-#: Rows up to which a table of hashes is broadcast (some 20 bytes each).
-BROADCAST_ROWS = 500_000
 _PLACE = "CAST(coalesce(doc_id, 9223372036854775807) AS decimal(38,0)) * 4294967296 + n"
 
 
@@ -81,15 +79,10 @@ def _apart(a: str, b: str) -> Column:
     return total
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df with a hint to broadcast it, if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def shared_keys(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(key, id, sought) of all lines with a key that another line has too: id is a hash of the line, sought whether it only looks for it."""
     lines = _spoken(lines_of(docs)).where(F.length("line") >= least).withColumn("place", F.expr(_PLACE))
-    hot = _small(firsts.where(f"copies > {USUAL}").select(F.col("h").alias("_h"), F.col("first").alias("_first")))
+    hot = small(firsts.where(f"copies > {USUAL}").select(F.col("h").alias("_h"), F.col("first").alias("_first")))
     lines = lines.join(hot, F.col("h") == F.col("_h"), "left").where("_first is null or place = _first")
     listed, sought = _keys(threshold, least)
     measured = lines.select("h", "line", F.col("line").cast("binary").alias("raw"), F.length("line").alias("length"), (F.length("line") == F.octet_length("line")).alias("ascii"))
@@ -104,7 +97,7 @@ def shared_keys(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
 def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(line_a, line_b) texts of distinct lines within threshold edits; a pair may come more than once."""
     keys = stored(shared_keys(docs, firsts, threshold, least), "line-keys")
-    wanted = _small(keys.select(F.col("id").alias("_id")).distinct())
+    wanted = small(keys.select(F.col("id").alias("_id")).distinct())
     lines = _spoken(lines_of(docs)).where(F.length("line") >= least).withColumn("id", F.shiftrightunsigned("h", 1))
     texts = lines.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id", "line").agg(F.lit(1).alias("_one"))
     met = stored(keys.join(texts.select("id", "line", _letters().alias("letters")), "id"), "line-texts")

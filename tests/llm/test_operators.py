@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ligature.llm import decontamination, fingerprints, language, lines, mixing, quality, queries, sharding, urls
@@ -150,6 +152,38 @@ def test_buckets_do_not_show(spark, docs, monkeypatch):
         assert key(fingerprints.fingerprinted(docs).collect()) == whole
 
 
+def spark_hash(number, k, kind="<q"):
+    """xxhash64 of a long or double and an int, as SQL has it."""
+    return xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(struct.pack(kind, number), 42))
+
+
+def brute_signature(text, samples):
+    """Consistent weighted sampling, term by term."""
+    p = (np.arange(4096) + 0.5) / 4096
+    rs, cs = fingerprints._gamma_quantile(p), [np.log(fingerprints._gamma_quantile(p / 4096**i)) for i in range(3)]
+    weights = Counter(w for w in SPACES.split(text) if w) or Counter([""])
+    out = []
+    for k in range(samples):
+        least = math.inf
+        for word, n in weights.items():
+            term = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(word.encode(), 42)))[0]
+            h = spark_hash(term, k)
+            bits = [h >> 12 * i & 4095 for i in range(5)]
+            r, beta = rs[bits[0]], bits[1] / 4096
+            c = cs[0][bits[2]] if bits[2] else cs[1][bits[3]] if bits[3] else cs[2][bits[4]]
+            least = min(least, c - r * (math.floor(math.log(n) / r + beta) - beta + 1))
+        out.append(f"{spark_hash(least, k, '<d') & 0xFFFF:04x}")
+    return out
+
+
+def test_signatures_against_every_term(spark):
+    draw = random.Random(4)
+    texts = ["", " \t\n", "one", "one one one two", " ünï  çödé\x0bünï "] + [" ".join(f"w{draw.randrange(9)}" for _ in range(draw.randrange(1, 300))) for _ in range(15)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.signature for r in fingerprints.signatures(rows, ["i"], "text", 12).collect()}
+    assert got == {i: brute_signature(t, 12) for i, t in enumerate(texts)}
+
+
 def test_likeness_is_the_generalised_jaccard_similarity(spark):
     rows = queries.op5_fingerprints(spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
