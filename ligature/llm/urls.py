@@ -1,18 +1,17 @@
 """URL filters: rules by host and path first; where none fits, unigram Viterbi splits host and path into words, and a multinomial naive
 Bayes model of block and allow scores them.
 
-The unigram model counts the words of all pages; the most frequent, VOCABULARY at most, are sent to the tasks. The naive Bayes model learns
-from labelled seed addresses, a parameter. Words that no seed has say nothing.
+The unigram model counts the words of all pages, whole. Naive Bayes learns from the addresses that a rule decides, by what a rule does not
+name: the host without the rule's, the path without the rule's. A word counts once for each host, or each path, so a host with many pages
+is one example. Both models are tables that meet the addresses in joins: each distinct run of letters asks for the counts of its own
+substrings, so no vocabulary is cut or sent to the tasks.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import re
-from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,38 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, stored
 
-VOCABULARY = 50_000
 LONGEST_WORD = 24
+#: Letters of the shortest words that naive Bayes counts: shorter ones are codes of languages, countries and the like, which rules speak of.
+SHORTEST_TOKEN = 3
 #: Share of addresses that are to be blocked where the words say nothing.
 BLOCK_PRIOR = 0.2
 #: (action, host/path): the longest that fits decides.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: A unit of the odds' logarithms: sums of whole numbers don't depend on their order.
+UNIT = 1e-6
 
-#: Seed addresses, by what is to be done with them.
-SEEDS = {
-    "block": """
-        casino-win casino-royal best-casino-online online-poker poker-bonus slots-jackpot jackpot-win free-bets sports-bets betting-odds
-        bet-now free-spins lotto-winner roulette-bonus gambling-tips cheap-pills pills-online cheap-viagra viagra-cialis pharmacy-pills
-        diet-pills weight-loss-pills cheap-meds no-prescription-drugs adult-x adult-video xxx-video xxx-cams porn-tube free-porn sex-cams
-        sex-dating hot-girls nude-pics escort-dating hookup-now spam-farm link-farm click-farm seo-spam spam-mail bulk-mail ads-track
-        ads-server ad-tracker tracker-pixel track-clicks popup-ads banner-ads click-bait clickbait-news malware-download virus-warning
-        phishing-login account-verify-login free-download-crack warez-crack keygen-serial torrent-warez replica-watches fake-watches
-        cheap-replica payday-loans fast-loans quick-cash earn-cash-fast make-money-fast get-rich-quick crypto-doubler bitcoin-doubler
-        free-iphone-win you-win-prize prize-claim gift-card-free free-money hack-tool cheats-hack
-    """,
-    "allow": """
-        daily-news travel-notes weather-report city-library university-press open-science school-board museum-guide
-        history-archive recipe-book cooking-blog garden-club book-review music-review film-review sports-news local-news world-news
-        health-service hospital-info public-health data-portal code-docs developer-docs wiki-help help-center support-forum user-forum
-        photo-album art-gallery theatre-news travel-guide hotel-guide train-times city-map bank-info law-office court-records
-        government-info election-results research-lab physics-lab biology-notes math-notes language-course learn-english teacher-notes
-        student-union science-journal medical-journal nature-park animal-rescue charity-fund church-community family-tree kids-games
-        chess-club football-club tennis-club running-club cycling-tour car-review home-repair house-plans job-board company-profile
-        contact-page about-us privacy-policy terms-of-use site-index article-page post-archive product-catalog shop-cart order-status
-    """,
-}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def host_of(url: Column) -> Column:
@@ -74,90 +52,113 @@ def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str]] = RULES
     return rule, action
 
 
-def word_counts(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The words of all pages' visible text that are as frequent as 2 ** k, for the least k by which there are at most `most` of them."""
+def runs_of(text: Column, rules: Iterable[tuple[str, str]] = RULES) -> Column:
+    """The distinct runs of letters, lower-cased, but for the words that a rule names."""
+    named = sorted({w for _, rule in rules for w in rule.lower().replace("/", ".").split(".") if w})
+    return F.array_except(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), F.array(*map(F.lit, named)).cast("array<string>"))
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) of all pages' visible text, of words of 2 to LONGEST_WORD letters."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(f"length(word) between 2 and {LONGEST_WORD}")
-    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")), "words")
-    power = F.floor(F.log2("n")).cast("int")
-    left, least = most, 64
-    for k, n in sorted(((r["k"], r["n"]) for r in counts.groupBy(power.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True):
-        left -= n
-        if left < 0:
-            break
-        least = k
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= F.lit(float(2**least))).collect()}
-
-
-@dataclass
-class UrlModel:
-    counts: dict[str, int]
-    odds: dict[str, float]
-    prior: float
-
-    def __post_init__(self) -> None:
-        self.total = sum(self.counts.values()) or 1
-        self.segments = functools.lru_cache(100_000)(self._segments)
-
-    def __reduce__(self):
-        return UrlModel, (self.counts, self.odds, self.prior)
-
-    def _cost(self, word: str) -> float:
-        n = self.counts.get(word)
-        return math.log(self.total / n) if n else math.log(self.total) + math.log(10) * len(word)
-
-    def _segments(self, letters: str) -> list[str]:
-        """The most probable split into words: unknown ones cost by their length."""
-        best = [0.0]
-        cut = [0]
-        for end in range(1, len(letters) + 1):
-            cost, start = min((best[i] + self._cost(letters[i:end]), i) for i in range(max(0, end - LONGEST_WORD), end))
-            best.append(cost)
-            cut.append(start)
-        words, end = [], len(letters)
-        while end:
-            words.append(letters[cut[end] : end])
-            end = cut[end]
-        return words[::-1]
-
-    def tokens(self, address: str) -> list[str]:
-        return [w for letters in _WORDS.findall(address.lower()) for w in self.segments(letters)]
-
-    def block(self, host: str, path: str) -> float:
-        """The chance that the address is to be blocked."""
-        x = self.prior + sum(self.odds.get(w, 0.0) for w in self.tokens(host) + self.tokens(path))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
-
-
-def fit_url_model(counts: dict[str, int], seeds: dict[str, str] = SEEDS, prior: float = BLOCK_PRIOR) -> UrlModel:
-    """Seed words join the unigram model with a count as that of a word among the most frequent thousand, and train naive Bayes with add-one smoothing."""
-    known = Counter(counts)
-    usual = max(10, sorted(counts.values(), reverse=True)[min(999, len(counts) - 1)]) if counts else 10
-    by_class = {k: Counter(w for a in text.split() for w in _WORDS.findall(a)) for k, text in seeds.items()}
-    words = sorted(by_class["block"].keys() | by_class["allow"].keys())
-    for w in words:
-        if len(w) > 1:
-            known[w] = max(known[w], usual)
-    sums = {k: sum(c.values()) + len(words) for k, c in by_class.items()}
-    odds = {w: math.log((by_class["block"][w] + 1) / sums["block"]) - math.log((by_class["allow"][w] + 1) / sums["allow"]) for w in words}
-    return UrlModel(dict(known), odds, math.log(prior / (1 - prior)))
-
-
-def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, seeds: dict[str, str] = SEEDS, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) for every row: verdict is the rule's action, else block if the model's score is a half or
-    more, else allow. A null url and one without :// have an empty host and path, fit no rule, and are scored by the prior alone; a null
-    html adds no words; repeated rows each get a row. The model is sent to the tasks: its size is bounded by vocabulary and seeds.
-    """
-    model = pages.sparkSession.sparkContext.broadcast(fit_url_model(word_counts(pages, vocabulary), seeds))
-    url = F.coalesce("url", F.lit(""))
-    parts = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"))
-    schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("score", pa.float64())])
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def best_split(letters: str, counts: dict[tuple[int, int], int], total: int) -> list[str]:
+    """The most probable split into words by counts of (start, end): unknown ones cost by their length."""
+    best, cut, unknown = [0.0], [0], math.log(max(1, total))
+    for end in range(1, len(letters) + 1):
+        cost, start = math.inf, 0
+        for i in range(max(0, end - LONGEST_WORD), end):
+            n = counts.get((i, end))
+            c = best[i] + (math.log(total / n) if n else unknown + math.log(10) * (end - i))
+            if c < cost:
+                cost, start = c, i
+        best.append(cost)
+        cut.append(start)
+    words, end = [], len(letters)
+    while end:
+        words.append(letters[cut[end] : end])
+        end = cut[end]
+    return words[::-1]
+
+
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, tokens): each distinct run of runs (run string), split into words by counts (word, n) of its substrings."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    starts = F.sequence(F.lit(1), F.length("run") - 1)
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), F.length("run") - i + 1)), lambda n: F.struct(i.alias("start"), F.substring(F.col("run"), i, n).alias("part")))))
+    asked = runs.where("length(run) > 1").select("run", F.explode(parts).alias("x")).select("run", "x.start", "x.part")
+    met = asked.join(counts, F.col("part") == F.col("word")).groupBy("run").agg(F.collect_list(F.struct("start", F.length("part").alias("size"), "n")).alias("known"))
+    both = runs.join(met.withColumnRenamed("run", "_run"), F.col("run") == F.col("_run"), "left").select("run", "known")
+    schema = pa.schema([("run", pa.string()), ("tokens", pa.list_(pa.string()))])
 
     def work(batch: pa.RecordBatch) -> dict:
-        own = {k: batch.column(k) for k in ("page_id", "host", "path")}
-        return own | {"score": [model.value.block(h, p) for h, p in zip(own["host"].to_pylist(), own["path"].to_pylist(), strict=True)]}
+        tokens = [best_split(run, {(k["start"] - 1, k["start"] - 1 + k["size"]): k["n"] for k in known or ()}, total) for run, known in zip(batch.column("run").to_pylist(), batch.column("known").to_pylist(), strict=True)]
+        return {"run": batch.column("run"), "tokens": tokens}
+
+    return both.mapInArrow(per_batch(work, schema), "run string, tokens array<string>")
 
-    scored = parts.mapInArrow(per_batch(work, schema), "page_id long, host string, path string, score double")
+
+def addressed(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES) -> DataFrame:
+    """(page_id, host, path, rule, action) for every row; rule and action are null where none fits."""
+    url = F.coalesce("url", F.lit(""))
+    parts = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(action, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "score")
+    return parts.withColumns({"rule": rule, "action": action})
+
+
+def labelled_runs(parts: DataFrame, rules: Iterable[tuple[str, str]] = RULES) -> DataFrame:
+    """(run, action, n): in how many hosts and paths that a rule decides a run stands, beside what the rule names."""
+    # host and path lose what the rule names of them
+    host = F.expr("substring(host, 1, greatest(0, length(host) - length(substring_index(rule, '/', 1))))")
+    path = F.expr("substring(path, length(rule) - length(substring_index(rule, '/', 1)) + 1, length(path))")
+    decided = parts.where("action is not null")
+    sides = [decided.select("action", side.alias("text")).distinct() for side in (host, path)]
+    rows = reduce(DataFrame.unionAll, [x.select("action", F.explode(runs_of(F.col("text"), rules)).alias("run")) for x in sides])
+    return rows.groupBy("run", "action").agg(F.count("*").alias("n"))
+
+
+def token_odds(tokens: DataFrame) -> DataFrame:
+    """(token, odds) of tokens (token, block, allow): ln of P(token | block) / P(token | allow) in UNITs, with add-one smoothing."""
+    counts = tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).where("block + allow > 0")
+    n, block, allow = counts.agg(F.count("*"), F.sum("block"), F.sum("allow")).first()
+    odds = F.ln((F.col("block") + 1) / F.lit(float((block or 0) + n + 1))) - F.ln((F.col("allow") + 1) / F.lit(float((allow or 0) + n + 1)))
+    return counts.select("token", F.round(odds / UNIT).cast("long").alias("odds"))
+
+
+def run_odds(parts: DataFrame, counts: DataFrame, rules: Iterable[tuple[str, str]] = RULES, learn: Column | None = None) -> DataFrame:
+    """(run, odds) of the runs of all addresses, those without odds left out; learn limits the rows that naive Bayes learns from."""
+    runs = parts.select("host", "path").distinct().select(F.explode(runs_of(F.concat_ws(" ", "host", "path"), rules)).alias("run")).distinct()
+    split = stored(segmented(runs, counts), "url-runs")
+    labels = labelled_runs(parts if learn is None else parts.where(learn), rules)
+    kinds = labels.groupBy(F.col("run").alias("_run")).agg(*[F.sum(F.when(F.col("action") == k, F.col("n")).otherwise(0)).alias(k) for k in ("block", "allow")])
+    # a token's tallies are those of the runs that have it
+    tokens = split.select("run", F.explode("tokens").alias("token")).where(F.length("token") >= SHORTEST_TOKEN)
+    odds = stored(token_odds(tokens.join(kinds, F.col("run") == F.col("_run"))), "url-odds")
+    met = tokens.join(odds.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token"))
+    return met.groupBy("run").agg(F.sum("odds").alias("odds")).where("odds <> 0")
+
+
+def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, prior: float = BLOCK_PRIOR, learn: Column | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) for every row: verdict is the rule's action, else block if the model's score is a half or
+    more, else allow.
+
+    A null url and one without :// have an empty host and path, fit no rule, and score the prior; so does an address none of whose words
+    was learned, and every one where no rule decides any. A null html adds no words; repeated rows each get a row; very long addresses are
+    split like others. learn, a condition on host and path, limits the decided rows that are learned from.
+    """
+    parts = addressed(pages, rules)
+    counts = stored(word_counts(pages), "words")
+    odds = stored(run_odds(parts, counts, rules, learn), "run-odds")
+    text = F.concat_ws(" ", "host", "path")
+    addresses = parts.select("host", "path").distinct()
+    asked = addresses.select("host", "path", F.explode(runs_of(text, rules)).alias("run"))
+    scores = asked.join(odds.withColumnRenamed("run", "_run"), F.col("run") == F.col("_run")).groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    named = scores.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "odds")
+    found = parts.join(named, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    x = F.lit(math.log(prior / (1 - prior))) + F.coalesce("odds", F.lit(0)) * F.lit(UNIT)
+    scored = found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x)))))
+    verdict = F.coalesce("action", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -323,25 +323,47 @@ def test_lines_of_any_rows(docs, no_docs):
 # --- urls
 
 
-def best_split(word, cost):
-    if not word:
-        return 0.0, []
-    return min((best_split(word[:i], cost)[0] + cost(word[i:]), best_split(word[:i], cost)[1] + [word[i:]]) for i in range(len(word)))
-
-
-def test_segments_against_all_splits():
-    model = urls.fit_url_model({"the": 900, "cat": 50, "at": 300, "he": 200, "spa": 20, "ma": 5})
-    for word in ("thecat", "cheappills", "spamfarm", "zzq", "casinowin", "x"):
-        assert math.isclose(sum(map(model._cost, model.segments(word))), best_split(word, model._cost)[0])
-    assert model.segments("cheappills") == ["cheap", "pills"] and "".join(model.segments("qqthezz")) == "qqthezz"
+def all_splits(word):
+    return [[word]] + [[word[:i], *rest] for i in range(1, len(word)) for rest in all_splits(word[i:])]
+
+
+def test_segments_against_all_splits(spark):
+    counts = {"the": 900, "cat": 50, "at": 300, "he": 200, "spa": 20, "ma": 5}
+    total = sum(counts.values())
+    cost = lambda words: sum(math.log(total / counts[w]) if w in counts else math.log(total) + math.log(10) * len(w) for w in words)
+    given = ["thecat", "atthespa", "zzq", "x", "hehehema", "qqthezz", "thecat"]
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    rows = urls.segmented(spark.createDataFrame([(w,) for w in dict.fromkeys(given)], "run string"), table).collect()
+    assert {r.run for r in rows} == set(given)
+    for r in rows:
+        assert "".join(r.tokens) == r.run and math.isclose(cost(r.tokens), min(map(cost, all_splits(r.run))))
+    assert {r.run: r.tokens for r in rows}["thecat"] == ["the", "cat"]
+    assert urls.segmented(spark.createDataFrame([("abc",)], "run string"), table.limit(0)).collect()[0].tokens == ["abc"]
+
+
+def test_words_of_hosts_that_no_rule_names(spark):
+    """Hosts that share a word, but no host, with those that a rule decides."""
+    fruit = ["apple", "pear", "plum", "cherry", "melon", "grape", "lemon", "mango", "olive", "peach"]
+    html = "<p>" + " ".join([*fruit, "bitter", "sweet"] * 3) + "</p>"
+    rows = [(f"http://bitter{f}.example.net/fr/1", html) for f in fruit[:8]] + [(f"https://sweet{f}.example.org/fr/2", html) for f in fruit[:8]]
+    rows += [(f"http://{w}{f}.example.com/en/3", html) for w in ("bitter", "sweet") for f in fruit[8:]]
+    # a host with many pages is one example
+    rows += [(f"https://sweetapple.example.org/fr/{i}", "") for i in range(200)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in urls.judged(pages).collect()}
+    for f in fruit[8:]:
+        assert got[f"bitter{f}.example.com"].verdict == "block" and got[f"sweet{f}.example.com"].verdict == "allow"
+    learned = urls.judged(pages, learn=F.lit(False)).collect()
+    assert {round(r.score, 6) for r in learned} == {urls.BLOCK_PRIOR}
 
 
 def test_urls_of_any_rows(spark):
     given = [
         "http://a.net/x", "https://b.example.net/en/1", "http://example.net/en", "http://example.com/de/", "http://sub.example.com/de/x?q#f", "http://example.com/fr/y", "x.org/fr/", "http://x.org/fr/?a",
-        None, "", "http://", "http://NET/A", "http://netnet/", "http://a.net", "ftp://u@Casino-WIN.example.com:80/en/#z", "a://b://c/d", "http://cheappills.example.com/en/", "http://library.example.com/en/", "http://é.org\n/fr/x",
+        None, "", "http://", "http://NET/A", "http://netnet/", "http://a.net", "ftp://u@Dark-WOOD.example.com:80/en/#z", "a://b://c/d", "http://darkwood.example.com/en/", "http://darkwood.example.com/en/", "http://é.org\n/fr/x",
+        "http://" + "longhost" * 3000 + ".net/" + "path/" * 3000, "http://darkwood.net/",
     ]
-    pages = spark.createDataFrame([(i, u, None if i % 2 else "<p>the casino &amp; library</p><script>x y</script>") for i, u in enumerate(given)], "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as score", "3 as rule")
+    pages = spark.createDataFrame([(i, u, None if i % 2 else "<p>the dark &amp; wood</p><script>x y</script>") for i, u in enumerate(given)], "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as score", "3 as rule")
     rows = {r.page_id: r for r in urls.judged(pages).collect()}
     assert len(rows) == len(given)
     for i, url in enumerate(given):
@@ -356,7 +378,7 @@ def test_urls_of_any_rows(spark):
                 best = max(best, (len(rule), rule, what))
         assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, best[1])
         assert rows[i].verdict == (best[2] or ("block" if rows[i].score >= 0.5 else "allow"))
-    assert rows[14].verdict == rows[16].verdict == "block" and rows[17].verdict == "allow" and rows[8].verdict == "allow"
+    assert rows[8].verdict == rows[12].verdict == "allow" and rows[16].score == rows[17].score
     assert urls.judged(pages.limit(0)).count() == 0
 
 
