@@ -65,17 +65,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _line_numbers(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.concat_ws(",", "removed").alias("removed"))
-
-
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_numbers(lines.deduplicated(table(spark, sf_dir, "documents")))
-
-
-def op9_lines_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9_lines, with the edit distance for all lines that the method can compare."""
-    return _line_numbers(lines.deduplicated(table(spark, sf_dir, "documents"), least=lines.THRESHOLD + 1))
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.concat_ws(",", "removed").alias("removed"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +84,13 @@ QUERIES: dict[str, Query] = {
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_lines": op9_lines,
-    "op9_lines_short": op9_lines_short,
     "op10_urls": op10_urls,
 }
 
+#: The SQL function compares bytes: each of these letters of the tables gives way to a control character, so that a letter is a byte.
+_LETTERS = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ"
+_MARKS = "".join(map(chr, [*range(1, 9), *range(14, 14 + len(_LETTERS) - 8)]))
+
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": f"""
         WITH u AS (
@@ -135,11 +130,12 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (
             SELECT doc_id, n - 1 AS n, parts[n] AS line FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
         ), u AS (
-            SELECT line, length(line) AS size, min(CAST(doc_id AS HUGEINT) * 4294967296 + n) AS first FROM l WHERE trim(line, ' ') <> '' GROUP BY line
+            SELECT line, translate(line, '{_LETTERS}', '{_MARKS}') AS marks, length(line) AS size, min(CAST(doc_id AS HUGEINT) * 4294967296 + n) AS first,
+                   length(replace(line, 'e', '')) AS c1, length(replace(line, 't', '')) AS c2, length(replace(line, 'n', '')) AS c3, length(replace(line, 'a', '')) AS c4 FROM l WHERE trim(line, ' ') <> '' GROUP BY line
         ), near AS (
             SELECT DISTINCT b.line FROM u a, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) r, u b
-            WHERE b.size = a.size + r.d AND a.size >= {lines.LEAST} AND b.size >= {lines.LEAST} AND a.first < b.first AND abs(len(string_split(a.line, 'e')) - len(string_split(b.line, 'e'))) <= 2
-              AND levenshtein(a.line, b.line) BETWEEN 1 AND {lines.THRESHOLD}
+            WHERE b.size = a.size + r.d AND a.first < b.first AND abs(a.c1 - b.c1) <= 2 AND abs(a.c2 - b.c2) <= 2 AND abs(a.c3 - b.c3) <= 2 AND abs(a.c4 - b.c4) <= 2
+              AND levenshtein(a.marks, b.marks) BETWEEN 1 AND {lines.THRESHOLD}
         ), judged AS (
             SELECT l.doc_id, l.n, near.line IS NOT NULL AS near, u.line IS NOT NULL AND (near.line IS NOT NULL OR u.first <> CAST(l.doc_id AS HUGEINT) * 4294967296 + l.n) AS removed
             FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN near ON near.line = l.line

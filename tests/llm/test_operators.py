@@ -280,9 +280,10 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize(("threshold", "usual"), [(1, 32), (2, 0), (3, 1)])
-def test_lines_against_all_pairs(spark, monkeypatch, threshold, usual):
+@pytest.mark.parametrize(("threshold", "usual", "hot"), [(1, 32, 256), (2, 0, 1), (3, 1, 2)])
+def test_lines_against_all_pairs(spark, monkeypatch, threshold, usual, hot):
     monkeypatch.setattr(lines, "USUAL", usual)
+    monkeypatch.setattr(lines, "HOT", hot)
     draw = random.Random(8)
     base = ["".join(draw.choice("etnairso xü") for _ in range(draw.randrange(28, 45))) for _ in range(12)]
 
@@ -300,8 +301,8 @@ def test_lines_against_all_pairs(spark, monkeypatch, threshold, usual):
     first = {}
     for doc, n, line in order:
         first.setdefault(line, (doc, n))
-    long = [x for x in first if len(x) >= lines.LEAST]
-    near = {b for b in long for a in long if first[a] < first[b] and distance(a, b) <= threshold}
+    told = [x for x in first if x.strip(" ")]
+    near = {b for b in told for a in told if first[a] < first[b] and distance(a, b) <= threshold}
     want = {}
     for doc, n, line in order:
         gone = want.setdefault(None if doc[0] else doc[1], [])
