@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_bytes
+from .common import as_bytes, drop_stored, stored
 from .fmindex import END, FMIndex
 
 WINDOW = 13
@@ -177,11 +177,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, k
     spark = docs.sparkSession
     plan = docs.select(F.struct(*[docs[c] for c in keep or ["doc_id"]]).alias("row"), "text")
     row, kind = to_arrow_schema(plan.schema).field("row"), plan.schema["row"].dataType.simpleString()
-    blocks = list(_blocks(benchmark, width)) or [Windows([], width)]
-    for i, windows in enumerate(blocks):
-        last = i == len(blocks) - 1
+    blocks = _blocks(benchmark, width)
+    windows, last, hits = next(blocks, Windows([], width)), False, None
+    while not last:
+        after = next(blocks, None)
+        last = after is None
         schema = pa.schema([row, *[("text", pa.string())] * (not last), *_FIELDS])
-        plan = plan.mapInArrow(_search(spark.sparkContext.broadcast(windows), schema), f"row {kind}, {'' if last else 'text string, '}{RESULT}")
+        sent = spark.sparkContext.broadcast(windows)
+        plan = plan.mapInArrow(_search(sent, schema), f"row {kind}, {'' if last else 'text string, '}{RESULT}")
+        if not last:
+            # one block is in memory at a time, beside the next: what it found is written before that is sent
+            plan = stored(plan, "hits")
+            sent.unpersist()
+            if hits is not None:
+                drop_stored(hits)
+            hits = plan
+        windows = after
     return plan
 
 

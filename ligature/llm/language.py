@@ -1,7 +1,8 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines within it.
 
-Texts are counts of hashed byte trigrams of their letters. The machines learn on the driver from about PER_LANGUAGE documents a
-language, drawn by a hash of doc_id; everything else covers all rows.
+Texts are counts of hashed byte trigrams of their letters. The machines learn from PER_LANGUAGE documents of a language at most, those first
+by a hash of doc_id and text, and from MOST_SAMPLED in all, which are sent to the tasks: each machine is trained in a task of its own.
+Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -19,8 +21,8 @@ from .common import per_batch
 from .linear import margin_scale, train_svm
 
 UNKNOWN = "und"
-#: Documents of each language, on average, that the machines learn from.
-PER_LANGUAGE = 800
+#: Documents of a language, and of all, that the machines learn from at most; languages, the most frequent, that are learned.
+PER_LANGUAGE, MOST_SAMPLED, MOST_LANGUAGES = 800, 8000, 128
 BUCKETS = 2048
 #: Language families by ISO 639-1 code; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -59,18 +61,6 @@ class Machines:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, BUCKETS + 1), np.float32))
     scales: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    @classmethod
-    def fit(cls, x: np.ndarray, of: np.ndarray) -> Machines:
-        names = sorted(set(of.tolist()))
-        weights, scales = [], []
-        for a, b in combinations(names, 2):
-            rows = (of == a) | (of == b)
-            y = np.where(of[rows] == a, 1.0, -1.0)
-            w = train_svm(x[rows], y)
-            weights.append(w)
-            scales.append(margin_scale(x[rows] @ w[:-1] + w[-1], y))
-        return cls(names, np.array(weights, np.float32).reshape(-1, BUCKETS + 1), np.array(scales))
-
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the place of its name, by votes and then by margins, and the least probability of its pairs."""
         n = len(self.names)
@@ -91,11 +81,6 @@ class LanguageModel:
     families: Machines
     within: dict[str, Machines]
 
-    @classmethod
-    def fit(cls, x: np.ndarray, langs: np.ndarray) -> LanguageModel:
-        family = np.array([_FAMILY.get(code, code) for code in langs.tolist()], object)
-        return cls(Machines.fit(x, family), {f: Machines.fit(x[family == f], langs[family == f]) for f in sorted(set(family.tolist()))})
-
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(x), np.zeros(len(x))
         if not self.families.names or not len(x):
@@ -115,26 +100,71 @@ class LanguageModel:
 HELD_OUT = "coalesce(crc32(CAST(CAST(doc_id AS string) AS binary)) % 3 = 1, false)"
 
 
-def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learns from text and non-null lang of documents whose crc32(doc_id as text) mod 3 is not 1 and whose text has a letter."""
+def _sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and languages of the documents that are learned from."""
     learn = docs.where(f"doc_id is not null and lang is not null and not {HELD_OUT}")
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
-    if not counts:
-        return LanguageModel(Machines([]), {})
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < F.element_at(shares, F.col("lang")) * 1_000_000
+    frequent = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not frequent:
+        return np.zeros((0, BUCKETS), np.float32), np.zeros(0, object)
+    per = max(1, min(per_language, MOST_SAMPLED // len(frequent)))
+    # a few more by hash than are wanted, then exactly the first; rows that repeat count once
+    shares = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], min(1.0, (per + 5 * per**0.5 + 10) / r["count"]))])
+    h = F.xxhash64(F.lit("language"), "doc_id", "text")
+    near = learn.where(F.coalesce(F.pmod(h, F.lit(1_000_000)) < F.element_at(shares, F.col("lang")) * 1_000_000, F.lit(False)))
+    drawn = near.groupBy("lang", h.alias("h")).agg(F.min("text").alias("text"))
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    drawn = drawn.withColumn("turn", first).where(F.col("turn") <= per)
     schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
 
     def work(batch: pa.RecordBatch) -> dict:
         rows = [(lang, features(text).tobytes()) for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) if has_letter(text)]
         return {"lang": [r[0] for r in rows], "x": [r[1] for r in rows]}
 
-    rows = learn.where(drawn).select("lang", "text").mapInArrow(per_batch(work, schema), "lang string, x binary").collect()
-    if not rows:
-        return LanguageModel(Machines([]), {})
+    rows = drawn.select("lang", "text").mapInArrow(per_batch(work, schema), "lang string, x binary").collect()
     rows = sorted((r["lang"], bytes(r["x"])) for r in rows)
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, BUCKETS)
-    return LanguageModel.fit(x, np.array([r[0] for r in rows], object))
+    return np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, BUCKETS), np.array([r[0] for r in rows], object)
+
+
+def _trained(spark: SparkSession, x: np.ndarray, kinds: np.ndarray, pairs: list[tuple[str, str]]) -> list[tuple[np.ndarray, float]]:
+    """Weights and the scale of margins of a machine for each pair of kinds, one task a machine."""
+    if not pairs:
+        return []
+    sent = spark.sparkContext.broadcast((x, kinds, pairs))
+    schema = pa.schema([("id", pa.int64()), ("weights", pa.binary()), ("scale", pa.float64())])
+
+    def work(batch: pa.RecordBatch) -> dict:
+        x, kinds, pairs = sent.value
+        weights, scales = [], []
+        for i in batch.column("id").to_pylist():
+            a, b = pairs[i]
+            rows = (kinds == a) | (kinds == b)
+            y = np.where(kinds[rows] == a, 1.0, -1.0)
+            w = train_svm(x[rows], y)
+            weights.append(w.astype(np.float32).tobytes())
+            scales.append(margin_scale(x[rows] @ w[:-1] + w[-1], y))
+        return {"id": batch.column("id"), "weights": weights, "scale": scales}
+
+    ids = spark.range(0, len(pairs), 1, len(pairs))
+    rows = sorted(ids.mapInArrow(per_batch(work, schema), "id long, weights binary, scale double").collect())
+    return [(np.frombuffer(r["weights"], np.float32), r["scale"]) for r in rows]
+
+
+def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
+    """Learns from text and non-null lang of documents whose crc32(doc_id as text) mod 3 is not 1 and whose text has a letter."""
+    x, langs = _sample(docs, per_language)
+    known = sorted(set(langs.tolist()))
+    members: dict[str, list[str]] = {}
+    for code in known:
+        members.setdefault(_FAMILY.get(code, code), []).append(code)
+    family = np.array([_FAMILY.get(code, code) for code in langs.tolist()], object)
+    machines = {}
+    for kinds, groups in ((family, {None: sorted(members)}), (langs, members)):
+        pairs = [pair for names in groups.values() for pair in combinations(names, 2)]
+        found = iter(_trained(docs.sparkSession, x, kinds, pairs))
+        for name, names in groups.items():
+            own = [next(found) for _ in combinations(names, 2)]
+            machines[name] = Machines(names, np.array([w for w, _ in own], np.float32).reshape(-1, BUCKETS + 1), np.array([s for _, s in own]))
+    return LanguageModel(machines.pop(None), machines)
 
 
 def predicted(texts: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:

@@ -45,10 +45,10 @@ _BYTE = _scrambled(np.arange(1, 257, dtype=np.uint64) * _MIX)
 
 def _grams(text: np.ndarray, size: int) -> np.ndarray:
     """A hash of each size bytes, from hashes of one, two, four, ...; where size is no power of two, two of the next smaller overlap."""
-    part, power, have = _BYTE[text], _BASE, 1
+    part, power, have = _BYTE[text], int(_BASE), 1
     while 2 * have <= size:
-        part = part[:-have] * power + part[have:]
-        power, have = power * power, 2 * have
+        part = part[:-have] * np.uint64(power) + part[have:]
+        power, have = power * power % 2**64, 2 * have
     if have < size:
         n = len(text) - size + 1
         part = _scrambled(part[:n]) * _MIX + part[size - have : size - have + n]

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, per_batch, stored
 from .components import components
-from .shingles import shingle_components
 
 RADIUS = 3
 #: Distinct fingerprints for each value of the dealing bits, on average.
@@ -177,11 +176,3 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_print = linked.join(smallest, "root").select(F.col("fp").alias("k"), "component_id")
     return prints.join(by_print, prints.fp == by_print.k).select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without near copies, by similarity of shingles: of each component the row with the smallest doc_id stays, of rows that share it
-    one. Rows without a doc_id can't be told apart, so they all stay."""
-    found = shingle_components(docs).where("doc_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct()
-    kept = docs.join(found, docs["doc_id"] == found["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -84,6 +84,43 @@ def test_language_of_any_rows(docs, no_docs):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_votes_of_machines():
+    """Families first, then languages, by the pairs they win."""
+    draw = np.random.default_rng(5)
+    machine = lambda names: language.Machines(names, draw.normal(size=(len(names) * (len(names) - 1) // 2, language.BUCKETS + 1)).astype(np.float32), draw.uniform(1, 20, len(names) * (len(names) - 1) // 2))
+    model = language.LanguageModel(machine(["f", "g", "h"]), {"f": machine(["a", "b", "c", "d"]), "g": machine(["e"]), "h": machine(["i", "j"])})
+    x = draw.normal(size=(60, language.BUCKETS)).astype(np.float32) / 40
+
+    def plain(m, row):
+        wins, least, k = Counter({n: 0 for n in m.names}), dict.fromkeys(m.names, 1.0), 0
+        for i, a in enumerate(m.names):
+            for b in m.names[i + 1 :]:
+                margin = float(m.weights[k, :-1].astype(float) @ row + m.weights[k, -1]) * m.scales[k]
+                chance = 1 / (1 + math.exp(-max(-50, min(50, margin))))
+                wins[a if margin >= 0 else b] += 1
+                wins[a] += chance * 1e-3
+                wins[b] += (1 - chance) * 1e-3
+                least[a], least[b], k = min(least[a], chance), min(least[b], 1 - chance), k + 1
+        best = max(m.names, key=lambda n: wins[n])
+        return best, least[best]
+
+    names, scores = model.predict(x)
+    for name, score, row in zip(names, scores, x.astype(float), strict=True):
+        family, sure = plain(model.families, row)
+        lang, surer = plain(model.within[family], row)
+        assert name == lang and math.isclose(score, sure * surer, rel_tol=1e-3, abs_tol=1e-6)
+    assert len(set(names)) > 4
+
+
+def test_the_sample_is_bounded(spark):
+    """Rows that repeat count once, and no language gives more than its part."""
+    rows = [(i % 50, f"text {i % 50} of it", "en") for i in range(400)] + [(1000 + i, f"otro {i} más", "es") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    x, langs = language._sample(docs, 20)
+    n = Counter(langs.tolist())
+    assert n["es"] == 20 and 0 < n["en"] <= 20 and x.shape == (len(langs), language.BUCKETS)
+
+
 @pytest.mark.parametrize(("text", "want"), [(None, False), ("", False), ("12 34 -- ²", False), ("42 é", True), ("漢", True), ("_", False)])
 def test_letters(text, want):
     assert language.has_letter(text) is want

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ligature.llm import simhash
+from ligature.llm import shingles, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,7 +63,7 @@ def test_components_of_rows(spark):
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as fp", "2 as component_id", "3 as rep", "4 as _kept")
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash.simhash_components(docs).collect())
     assert got == [(-1, None), (3, 3), (4, 4), (4, 4), (5, 5), (7, 3), (9, 5)]
-    kept = simhash.drop_near_copies(docs)
+    kept = shingles.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4, 5]
     assert simhash.simhash_components(docs.limit(0)).count() == 0
