@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.staging import if_small, staged
 
 TOP_K, DF_CAP = 30, 1000
 
@@ -30,15 +31,20 @@ def key_weights(corpus: DataFrame, df_cap: int = DF_CAP) -> DataFrame:
 def scored_pairs(queries: DataFrame, corpus: DataFrame, df_cap: int = DF_CAP) -> DataFrame:
     """(s1, c, blk_score, blk_name, blk_addr): summed idf of the keys that both have, within a country. Pairs without a key don't exist.
 
-    The weight travels with the corpus keys, so the keys of the queries meet them in one join; no side holds a key more than df_cap times
-    a country on the corpus side.
+    Keys above the cap are found by partial counts and leave both sides before any row is shuffled: there are at most 1 / df_cap as many as
+    rows, and they are broadcast if few. The others meet in one join, whose partitions count them too, so no key has more than df_cap rows
+    of the corpus.
     """
-    weights = key_weights(corpus, df_cap).withColumnsRenamed({"country": "_country", "field": "_field", "key": "_key"})
-    listed = record_keys(corpus).join(weights, (F.col("country") == F.col("_country")) & (F.col("field") == F.col("_field")) & (F.col("key") == F.col("_key")))
-    listed = listed.select("country", "field", "key", F.col("entity_id").alias("c"), "idf")
-    asked = record_keys(queries).select("country", "field", "key", F.col("entity_id").alias("s1"))
-    met = asked.join(listed, ["country", "field", "key"])
-    return met.groupBy("s1", "c").agg(
+    on = ["country", "field", "key"]
+    listed, asked = record_keys(corpus), record_keys(queries)
+    hot = listed.groupBy(*on).agg(F.count("*").alias("df")).where(F.col("df") > df_cap)
+    hot = if_small(staged(hot.select(*on), "hot-keys"))
+    sizes = if_small(corpus.groupBy("country").agg(F.count("*").alias("n")))
+    df = F.count("*").over(W.partitionBy(*on))
+    listed = listed.join(hot, on, "left_anti").withColumn("df", df).join(sizes, "country")
+    listed = listed.select(*on, F.col("entity_id").alias("c"), F.log1p(F.col("n") / F.col("df")).alias("idf"))
+    asked = asked.join(hot, on, "left_anti").select(*on, F.col("entity_id").alias("s1"))
+    return asked.join(listed, on).groupBy("s1", "c").agg(
         F.sum("idf").alias("blk_score"),
         F.sum(F.when(F.col("field") == "n", F.col("idf")).otherwise(0.0)).alias("blk_name"),
         F.sum(F.when(F.col("field") == "a", F.col("idf")).otherwise(0.0)).alias("blk_addr"),

@@ -193,6 +193,30 @@ def _expected(source: str, by: str, c: str, s: str) -> str:
         FROM (SELECT *, least(greatest(p, 0), 1 - 1e-7::DOUBLE) AS q FROM {source}))))"""
 
 
+def _ratio(pairs: str) -> str:
+    """(a, b, ratio) of the pairs: 200 * common subsequence / both lengths, by the row of bits that each letter of b changes, one for each
+    letter of a. Up to 120 letters."""
+    mask = "list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN x[i] = ch THEN 1::HUGEINT << CAST(i - 1 AS HUGEINT) ELSE 0::HUGEINT END))"
+    return f"""SELECT a, b, CASE WHEN a = b THEN 100.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * (len(x) - bit_count(list_reduce(masks, lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole, whole))) / (len(x) + len(y)) END AS ratio
+        FROM (SELECT *, list_transform(y, lambda ch: {mask}) AS masks, (1::HUGEINT << CAST(len(x) AS HUGEINT)) - 1 AS whole
+              FROM (SELECT a, b, string_split(a, '') AS x, string_split(b, '') AS y FROM (SELECT DISTINCT a, b FROM ({pairs}))))"""
+
+
+def _in_order(words: str) -> str:
+    return f"array_to_string(list_sort({words}), ' ')"
+
+
+def _token_set(pairs: str) -> str:
+    """(s, t, score) of the distinct (s, t) of pairs."""
+    both = "list_filter(x, lambda w: list_contains(y, w))"
+    left, right = "list_filter(x, lambda w: NOT list_contains(y, w))", "list_filter(y, lambda w: NOT list_contains(x, w))"
+    sets = f"SELECT s, t, {_in_order(both)} AS i, {_in_order(left)} AS l, {_in_order(right)} AS r, len(x) AS nx, len(y) AS ny FROM (SELECT s, t, list_distinct({_words('s')}) AS x, list_distinct({_words('t')}) AS y FROM (SELECT DISTINCT s, t FROM ({pairs})))"
+    sides = f"SELECT *, trim(i || ' ' || l) AS a, trim(i || ' ' || r) AS b FROM ({sets})"
+    alone = lambda w: f"CASE WHEN i = '' THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * length(i) / (length(i) + length({w})) END"
+    return f"""SELECT s, t, CASE WHEN nx = 0 OR ny = 0 THEN 0.0::DOUBLE WHEN i <> '' AND (l = '' OR r = '') THEN 100.0::DOUBLE ELSE greatest(ratio, {alone('z.a')}, {alone('z.b')}) END AS score
+        FROM ({sides}) z JOIN ({_ratio(f"SELECT a, b FROM ({sides})")}) k ON k.a = z.a AND k.b = z.b"""
+
+
 def _simple(cte: str, columns: str) -> str:
     return _with(cte) + f"SELECT {columns} FROM {cte}"
 
@@ -230,6 +254,11 @@ SQL: dict[str, str] = {
     "retriever_topk": _simple("best", "*"),
     "sim_jaro_winkler": _simple("cand", f"s1, c, round(CASE WHEN {_BYTES.format('qn')} = {_BYTES.format('cn')} THEN 1.0 ELSE jaro_winkler_similarity({_BYTES.format('qn')}, {_BYTES.format('cn')}) END, 6) AS name_jw"),
     "sim_jaccard": _simple("cand", f"s1, c, round({_jaccard('qn', 'cn')}, 6) AS name_jacc, round({_jaccard('qa', 'ca')}, 6) AS addr_jacc"),
+    "sim_indel": _with("cand") + f"SELECT s1, c, round(ratio, 6) AS name_ratio FROM cand JOIN ({_ratio('SELECT qn AS a, cn AS b FROM cand')}) k ON k.a = qn AND k.b = cn",
+    "sim_token_sort": _with("cand") + f", z AS (SELECT s1, c, {_in_order(_words('qn'))} AS a, {_in_order(_words('cn'))} AS b FROM cand) SELECT s1, c, round(ratio, 6) AS name_token_sort FROM z JOIN ({_ratio('SELECT a, b FROM z')}) k ON k.a = z.a AND k.b = z.b",
+    "sim_token_set": _with("cand", "prep") + f"""SELECT s1, c, round(n.score, 6) AS name_token_set, round(m.score, 6) AS num_token_set FROM (SELECT cand.*, q.addr_nums AS qm, p.addr_nums AS cm FROM cand JOIN prep q ON q.entity_id = s1 JOIN prep p ON p.entity_id = c) z
+        JOIN ({_token_set('SELECT qn AS s, cn AS t FROM cand')}) n ON n.s = qn AND n.t = cn
+        JOIN ({_token_set('SELECT q.addr_nums AS s, p.addr_nums AS t FROM cand JOIN prep q ON q.entity_id = s1 JOIN prep p ON p.entity_id = c')}) m ON m.s = qm AND m.t = cm""",
     "feat_gaps": _with("cand") + f"""SELECT s1, c, round(max(blk_score) OVER w - blk_score, 6) AS blk_score_gap, round(blk_score / max(blk_score) OVER w, 6) AS blk_score_rel, CAST(count(*) OVER w AS DOUBLE) AS n_cands,
         CAST(qn = '' OR cn = '' AS DOUBLE) AS name_either_empty, CAST(qf = cf AND qf >= 0 AS DOUBLE) AS first_num_eq, CAST(qf < 0 OR cf < 0 AS DOUBLE) AS first_num_missing, {_LEN('qn')} AS q_name_ntok, {_LEN('cn')} AS c_name_ntok,
         round(CAST(CAST(q_non_ascii AS FLOAT) AS DOUBLE), 6) AS q_name_non_ascii, CAST(c_is_s3 AS DOUBLE) AS c_is_s3 FROM cand WINDOW w AS (PARTITION BY s1)""",

@@ -12,6 +12,7 @@ from ..operators import decisions, labels, metrics, models
 from ..operators.pair_features import FEATURE_COLUMNS, STAGE2_COLUMNS, group_features, pair_features
 from ..operators.retrieval import DF_CAP, TOP_K, retrieve
 from ..sources import tables
+from ..sources.staging import staged
 
 TEXTS = ["c_name_core", "c_addr_norm", "c_addr_nums"]
 
@@ -44,7 +45,7 @@ def train(
 ) -> dict:
     """Both stages and the decision rule from {data}/train_*.tsv; returns and writes the config."""
     blocking = {"top_k": top_k, "df_cap": df_cap}
-    corpus = tables.load_corpus(spark, data, "train")
+    corpus = staged(tables.load_corpus(spark, data, "train"), "corpus")
     raw = labels.sampled_entities(tables.read_tsv(spark, f"{data}/train_source1.tsv", tables.RECORD), n_entities, seed)
     queries = tables.prepare_records(raw).persist()
     truth = labels.truth_of(tables.exploded_truth(tables.read_id_lists(spark, f"{data}/train_ground_truth.tsv")), queries).persist()
@@ -123,7 +124,7 @@ def select_prefilter(spark: SparkSession, model_dir: str) -> dict:
 def scored_pairs(queries: DataFrame, corpus: DataFrame, config: dict, first: PipelineModel, second: PipelineModel) -> DataFrame:
     """(s1, c, blk_rank, p1, p2): p1 of all retrieved pairs, p2 of those that pass the prefilter, null for the rest."""
     scored = models.predict(first, stage_one(queries, corpus, config["blocking"]), FEATURE_COLUMNS, "p1")
-    grouped = stage_two(scored)
+    grouped = staged(stage_two(scored), "grouped")
     cutoff = config.get("prefilter_p1", 0.0)
     passed = models.predict(second, grouped.where(F.col("p1") >= cutoff), STAGE2_COLUMNS, "p2").select("s1", "c", "blk_rank", "p1", "p2")
     rest = grouped.where(F.col("p1") < cutoff).select("s1", "c", "blk_rank", "p1", F.lit(None).cast("double").alias("p2"))
@@ -161,7 +162,8 @@ def predict(spark: SparkSession, data: str, model_dir: str, output: str, split:
     config = tables.read_json(spark, f"{model_dir}/config")
     first, second = (PipelineModel.load(f"{model_dir}/stage{i}") for i in (1, 2))
     raw = _entities(spark, data, split, holdout)
-    tables.write_scores(scored_pairs(tables.prepare_records(raw), tables.load_corpus(spark, data, split), config, first, second), f"{output}/{_name(split, holdout)}")
+    queries, corpus = staged(tables.prepare_records(raw), "queries"), staged(tables.load_corpus(spark, data, split), "corpus")
+    tables.write_scores(scored_pairs(queries, corpus, config, first, second), f"{output}/{_name(split, holdout)}")
     return finalize(spark, data, model_dir, output, split, holdout)
 
 

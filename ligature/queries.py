@@ -16,10 +16,11 @@ from .functions import plain_text, text
 from .functions import similarity as sim
 from .operators import char_grams, decisions, labels, metrics, models, pair_features, plain_features, retrieval, validation
 from .sources import tables
+from .sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Frequency cap and number of candidates of the queries.
-CAP, K = 100, 30
+#: Frequency cap and number of candidates of the queries: those of the operator.
+CAP, K = retrieval.DF_CAP, retrieval.TOP_K
 #: Six words, or all of fewer.
 NAME = "^([^ ]+ *){0,6}"
 RULE = {"type": "threshold", "t_all": 0.7, "t_top": 0.3}
@@ -43,7 +44,7 @@ def of_source(df: DataFrame, *sources: str) -> DataFrame:
 
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Query records, and the corpus."""
-    ready = tables.prepare_records(records(spark, sf_dir))
+    ready = staged(tables.prepare_records(records(spark, sf_dir)), "prepared")
     return of_source(ready, "S1"), tables.corpus(of_source(ready, "S2"), of_source(ready, "S3"))
 
 
