@@ -10,6 +10,8 @@ from ..functions import text
 from ..sources.staging import if_small, staged
 
 TOP_K, DF_CAP = 30, 1000
+#: Tasks for pairs, as a multiple of the shuffle partitions: a number in a list of 8 bytes becomes some 100 in a table of sums.
+PAIR_TASKS = 8
 
 
 def record_keys(records: DataFrame) -> DataFrame:
@@ -28,27 +30,51 @@ def key_weights(corpus: DataFrame, df_cap: int = DF_CAP) -> DataFrame:
     return df.join(sizes, F.col("country") == F.col("_country")).select("country", "field", "key", "df", F.log1p(F.col("n") / F.col("df")).alias("idf"))
 
 
-def scored_pairs(queries: DataFrame, corpus: DataFrame, df_cap: int = DF_CAP) -> DataFrame:
-    """(s1, c, blk_score, blk_name, blk_addr): summed idf of the keys that both have, within a country. Pairs without a key don't exist.
+def _numbered(records: DataFrame, name: str) -> DataFrame:
+    """(entity_id, n): a number for each id, in the order of ids. It is written, so that a lost task can't number them anew."""
+    ids = records.select("entity_id").distinct().orderBy("entity_id")
+    return staged(ids.select("entity_id", F.monotonically_increasing_id().alias("n")), name)
+
+
+def _number_pairs(queries: DataFrame, corpus: DataFrame, df_cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(s1, c, blk_score, blk_name, blk_addr) by numbers, partitioned by s1; and the numbers of both sides.
 
     Keys above the cap are found by partial counts and leave both sides before any row is shuffled: there are at most 1 / df_cap as many as
-    rows, and they are broadcast if few. The others meet in one join, whose partitions count them too, so no key has more than df_cap rows
-    of the corpus.
+    rows, and they are broadcast if few. Each other key is one row with its records, df_cap at most, and goes to the entities that ask for it
+    as that: pairs are spelt out where their entity is, and neither shuffled to be summed nor to be ranked.
     """
     on = ["country", "field", "key"]
+    sides = []
+    for records, name in ((queries, "query-numbers"), (corpus, "corpus-numbers")):
+        numbers = _numbered(records, name)
+        sides.append((records.join(if_small(numbers), "entity_id").withColumn("entity_id", F.col("n")).drop("n"), numbers))
+    (queries, names), (corpus, corpus_names) = sides
     listed, asked = record_keys(corpus), record_keys(queries)
     hot = listed.groupBy(*on).agg(F.count("*").alias("df")).where(F.col("df") > df_cap)
     hot = if_small(staged(hot.select(*on), "hot-keys"))
     sizes = if_small(corpus.groupBy("country").agg(F.count("*").alias("n")))
-    df = F.count("*").over(W.partitionBy(*on))
-    listed = listed.join(hot, on, "left_anti").withColumn("df", df).join(sizes, "country")
-    listed = listed.select(*on, F.col("entity_id").alias("c"), F.log1p(F.col("n") / F.col("df")).alias("idf"))
+    held = listed.join(hot, on, "left_anti").groupBy(*on).agg(F.collect_list("entity_id").alias("cs")).join(sizes, "country")
+    held = held.select(*on, F.log1p(F.col("n") / F.size("cs")).alias("idf"), "cs")
     asked = asked.join(hot, on, "left_anti").select(*on, F.col("entity_id").alias("s1"))
-    return asked.join(listed, on).groupBy("s1", "c").agg(
-        F.sum("idf").alias("blk_score"),
+    tasks = PAIR_TASKS * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = asked.join(held, on).select("s1", "field", "idf", "cs").repartition(tasks, "s1")
+    pairs = met.select("s1", "field", "idf", F.explode("cs").alias("c")).groupBy("s1", "c").agg(
         F.sum(F.when(F.col("field") == "n", F.col("idf")).otherwise(0.0)).alias("blk_name"),
         F.sum(F.when(F.col("field") == "a", F.col("idf")).otherwise(0.0)).alias("blk_addr"),
     )
+    return pairs.select("s1", "c", (F.col("blk_name") + F.col("blk_addr")).alias("blk_score"), "blk_name", "blk_addr"), names, corpus_names
+
+
+def _named(pairs: DataFrame, names: DataFrame, corpus_names: DataFrame) -> DataFrame:
+    """pairs by ids in place of numbers."""
+    s1 = if_small(names.select(F.col("n").alias("s1"), F.col("entity_id").alias("_s1")))
+    c = if_small(corpus_names.select(F.col("n").alias("c"), F.col("entity_id").alias("_c")))
+    return pairs.join(s1, "s1").join(c, "c").withColumns({"s1": F.col("_s1"), "c": F.col("_c")}).drop("_s1", "_c").select(*pairs.columns)
+
+
+def scored_pairs(queries: DataFrame, corpus: DataFrame, df_cap: int = DF_CAP) -> DataFrame:
+    """(s1, c, blk_score, blk_name, blk_addr): summed idf of the keys that both have, within a country. Pairs without a key don't exist."""
+    return _named(*_number_pairs(queries, corpus, df_cap))
 
 
 def top_candidates(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -58,4 +84,5 @@ def top_candidates(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = TOP_K, df_cap: int = DF_CAP) -> DataFrame:
-    return top_candidates(scored_pairs(queries, corpus, df_cap), top_k)
+    pairs, *names = _number_pairs(queries, corpus, df_cap)
+    return _named(top_candidates(pairs, top_k), *names)

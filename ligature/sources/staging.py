@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few values a row is broadcast.
 BROADCAST_ROWS = 500_000
+#: Where the paths of staged tables go: a list for the driver's life, or one of a caller that drops them; threads have their own.
 _paths: list[str] = []
+_kept_in: contextvars.ContextVar[list[str]] = contextvars.ContextVar("kept_in", default=_paths)
 
 
 @functools.cache
@@ -31,19 +36,35 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/") if named else _own_folder()
 
 
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def _clear() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
-        for path in _paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _drop(spark, _paths)
+
+
+@contextlib.contextmanager
+def dropped(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are deleted at its end, not at the driver's: for work that repeats, such as the batches of a stream."""
+    own: list[str] = []
+    token = _kept_in.set(own)
+    try:
+        yield
+    finally:
+        _kept_in.reset(token)
+        _drop(spark, own)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again; the table goes when the driver ends."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    _kept_in.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

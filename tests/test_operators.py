@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import duckdb
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ligature import oracle, queries
 from ligature.operators import char_grams, decisions, labels, metrics, pair_features, plain_features, retrieval
+from ligature.sources import staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -229,3 +231,20 @@ def test_queries_match_their_sql(spark):
         names = [d[0] for d in want.description]
         assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall())), name
     assert oracle.SQL.keys() <= queries.QUERIES.keys()
+
+
+def test_tables_of_a_scope_are_dropped(spark):
+    with staging.dropped(spark):
+        inside = staging.staged(spark.range(3), "inside")
+        path = inside.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert inside.count() == 3 and os.path.exists(path)
+    outside = staging.staged(spark.range(2), "outside")
+    assert not os.path.exists(path) and outside.count() == 2
+
+
+def test_repeated_ids_and_empty_sides(spark):
+    corpus = frame(spark, [record("S2-1", "aa"), record("S2-1", "aa"), record("S3-2", "aa bb"), ("S3-3", "x", None, None, "", -1, 0, 0.0)], PREPARED)
+    asked = frame(spark, [record("S1-1", "aa"), record("S1-2", "")], PREPARED)
+    got = {r.c: r.blk_score for r in retrieval.scored_pairs(asked, corpus, 5).collect()}
+    assert got.keys() == {"S2-1", "S3-2"} and got["S2-1"] > got["S3-2"] > 0
+    assert retrieval.scored_pairs(asked.limit(0), corpus).count() == retrieval.scored_pairs(asked, corpus.limit(0)).count() == 0
