@@ -11,6 +11,12 @@ def _map(table: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
 
 
+def _crc32(x: str) -> str:
+    """Of ASCII: each byte is joined by exclusive or, and eight times the lowest bit is shifted out (steps of -1)."""
+    steps = f"flatten(list_transform(range(1, length({x}) + 1), lambda i: [ascii({x}[i])::BIGINT{', -1' * 8}]))"
+    return f"xor(list_reduce({steps}, lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295), 4294967295)"
+
+
 def _words(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
 
@@ -280,6 +286,7 @@ SQL: dict[str, str] = {
             CAST(rank() OVER (PARTITION BY cand ORDER BY ctx_base DESC) AS DOUBLE) AS ctx_rank_in_cand, round(max(ctx_base) OVER (PARTITION BY cand) - ctx_base, 6) AS ctx_gap_cand_best FROM g""",
     "label_pairs": _simple("dec", "s1, c, label"),
     "truth_counts": _simple("ntrue", "s1, n_true"),
+    "holdout": _with("rec") + f"SELECT entity_id, {_crc32('entity_id')} % 10 = 0 AS held_out FROM rec",
     "split_roles": _with("rec") + "SELECT entity_id, CASE WHEN k < 80 THEN 'fit' WHEN k < 90 THEN 'tune' ELSE 'report' END AS role FROM (SELECT entity_id, CAST(substr(entity_id, 4, 10) AS BIGINT) % 100 AS k FROM rec WHERE entity_id[1:2] = 'S1')",
     "top_candidate": _with("top") + "SELECT s1, c, p FROM top WHERE j = 1",
     "decide_threshold": _simple("thr", "s1, c, p, pred"),

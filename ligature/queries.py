@@ -375,6 +375,7 @@ QUERIES: dict[str, Query] = {
     "feat_plain_context": feat_plain_context,
     "label_pairs": label_pairs,
     "truth_counts": truth_counts,
+    "holdout": _select(lambda: {"held_out": text.held_out(F.col("entity_id"))}),
     "split_roles": split_roles,
     "top_candidate": top_candidate,
     "decide_threshold": decided(RULE),
