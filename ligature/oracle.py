@@ -155,7 +155,7 @@ CTE["grams"] = (
 CTE["weights"] = (
     "grams",
     """SELECT entity_id, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY entity_id)) AS weight FROM (
-            SELECT entity_id, g.gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM side)) / (1 + df)) + 1) AS raw FROM grams g JOIN (SELECT gram, count(*) AS df FROM grams GROUP BY 1 HAVING count(*) >= 2) d ON d.gram = g.gram)""",
+            SELECT entity_id, g.gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM side)) / (1 + df)) + 1) AS raw FROM grams g JOIN (SELECT gram, count(*) AS df FROM grams GROUP BY 1) d ON d.gram = g.gram)""",
 )
 CTE["wide"] = (
     "topk side",

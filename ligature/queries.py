@@ -132,7 +132,7 @@ def plain_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def name_weights(left: DataFrame, right: DataFrame) -> DataFrame:
-    return char_grams.gram_weights(left.unionByName(right).select("entity_id", F.col("name_core").alias("txt")), 3, 5, min_df=2)
+    return char_grams.gram_weights(left.unionByName(right).select("entity_id", F.col("name_core").alias("txt")), 3, 5)
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
