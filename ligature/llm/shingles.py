@@ -6,9 +6,9 @@ no link is below SIMILARITY. Texts alike but for case and white space collapse b
 
 A band with more members than a task should hold is crowded: each of its texts is compared with one of them, in a join whose rows Spark can
 split. Texts like that one are linked to it. If all are, as where a template has many variants, the band is done; else those that may still
-have partners apart from it (the triangle inequality of the Jaccard distance tells) meet again by this band and another one each, until
-no band is crowded. No text of a band stands in for another. A pair that shares one band only, a crowded one, may be missed there: at
-similarity 0.8 with chance 9e-4, by the same reckoning.
+have partners apart from it (the triangle inequality of the Jaccard distance tells) meet again by the shingles of their prefixes: as many of
+each text's rarest in the band that two similar texts must have one of them in common. What is crowded still, after a star of its own, is
+compared in pieces of the band, each with each. No text of a band stands in for another, and no similar pair of a band is lost.
 
 The groups of SimHash fingerprints within its radius are candidates like the bands. Alone they find too few: texts of a shingle similarity of
 0.8 differ in some ten of 64 bits.
@@ -106,12 +106,12 @@ def _linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """(key, i, t, crowded) of the keys (key, i, t, size) that two texts or more share; of keys with the same members one."""
+    """(key, t, crowded) of the keys (key, t, size) that two texts or more share; of keys with the same members one."""
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all_size"), F.min("t").alias("low"), F.bit_xor(F.xxhash64("t")).alias("all"))
     once = met.where("n > 1").groupBy("n", "all_size", "low", "all").agg(F.min("key").alias("_key"))
     crowded = (F.col("n") > CROWD) | (F.col("all_size") > CROWD_SHINGLES)
     chosen = small(stored(once.select("_key", crowded.alias("crowded")), "shingle-keys"))
-    return stored(keys.join(chosen, F.col("key") == F.col("_key")).select("key", "i", "t", "crowded"), "shingle-members")
+    return stored(keys.join(chosen, F.col("key") == F.col("_key")).select("key", "t", "crowded"), "shingle-members")
 
 
 def _compared(batch: pa.RecordBatch) -> dict:
@@ -136,24 +136,50 @@ def _stars(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(per_batch(_compared, schema), "key long, u long, v long, near double")
 
 
-def _finer(stars: DataFrame, crowd: DataFrame, reps: DataFrame) -> DataFrame:
-    """Keys of two bands for the texts of crowded bands that may have partners apart from those that the star links.
+def _rest(stars: DataFrame, crowd: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, t, size) for the texts of crowded bands that may have partners apart from those that the star links.
 
     u apart from v by more than 1 - SIMILARITY, and w, have no link if w is nearer to v by more than 1 - SIMILARITY than u is."""
     nearest = stars.where(F.col("near") < SIMILARITY).groupBy("key").agg(F.max("near").alias("most")).withColumnRenamed("key", "_key")
     rest = stars.join(nearest, F.col("key") == F.col("_key")).where(F.col("near") <= F.col("most") + (1 - SIMILARITY) + 1e-9)
-    rest = rest.select("key", F.col("u").alias("t")).join(crowd.where("i >= 0").select("key", "t", "i"), ["key", "t"])
-    rest = rest.join(reps.select("t", "size", "bands"), "t")
-    rest = rest.select("key", "i", "t", "size", F.posexplode("bands").alias("j", "band")).where("i <> j")
-    return rest.select(F.xxhash64("key", "band").alias("key"), F.col("j").alias("i"), "t", "size")
+    return rest.select("key", F.col("u").alias("t")).join(reps.select("t", "size"), "t").select("key", "t", "size")
+
+
+def _spelt(batch: pa.RecordBatch) -> dict:
+    found = [shingles(x) for x in as_bytes(batch.column(2))]
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32))
+    flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+    return {"key": batch.column(0), "t": batch.column(1), "parts": pa.ListArray.from_arrays(offsets, flat)}
+
+
+def _prefixed(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, t, size): a key for each shingle of a text's prefix, the rarest in its band first. Of n shingles n - SIMILARITY * n, and one
+    more, stand in it: two similar texts have one of these in common."""
+    schema = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("parts", pa.list_(pa.int64()))])
+    parts = rest.join(texts, "t").select("key", "t", "text").mapInArrow(per_batch(_spelt, schema), "key long, t long, parts array<long>")
+    parts = stored(parts.select("key", "t", F.explode("parts").alias("part")), "shingle-parts")
+    ranked = parts.join(parts.groupBy("key", "part").agg(F.count("*").alias("n")), ["key", "part"]).groupBy("key", "t").agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("all"))
+    size = F.size("all")
+    prefix = F.slice("all", F.lit(1), size - F.ceil(SIMILARITY * size - F.lit(1e-9)).cast("int") + 1)
+    return ranked.select(F.explode(prefix["part"]).alias("part"), "key", "t", size.cast("long").alias("size")).select(F.xxhash64("key", "part").alias("key"), "t", "size")
+
+
+def _pieces(rest: DataFrame) -> DataFrame:
+    """(key, t, size): a key for each two pieces of a band, so that each pair of its texts meets. A piece is half of what a task should hold."""
+    wanted = F.greatest(F.ceil(2 * F.count("*") / CROWD), F.ceil(2 * F.sum("size") / CROWD_SHINGLES), F.lit(1))
+    sizes = rest.groupBy(F.col("key").alias("_key")).agg(wanted.cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("t", "key"), F.col("n")).cast("int")
+    dealt = rest.join(sizes, F.col("key") == F.col("_key")).withColumn("own", own)
+    dealt = dealt.select("key", "t", "size", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "t", "size")
 
 
 def shingle_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(u, v) text hashes of similar texts among reps (t, fp, size, bands), whose texts docs has."""
     balls = components(ball_links(reps.select("fp").distinct()))
     ball = F.xxhash64(F.lit("ball"), F.coalesce("root", "fp"))
-    balls = reps.join(balls, reps.fp == balls.node, "left").select(ball.alias("key"), F.lit(-1).alias("i"), "t", "size")
-    keys = reps.select(F.posexplode("bands").alias("i", "key"), "t", "size").select("key", "i", "t", "size").unionByName(balls)
+    balls = reps.join(balls, reps.fp == balls.node, "left").select(ball.alias("key"), "t", "size")
+    keys = reps.select(F.explode("bands").alias("key"), "t", "size").unionByName(balls)
     texts = docs.select(F.expr(TEXT_HASH).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
@@ -163,21 +189,25 @@ def shingle_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return pd.DataFrame({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
 
     found = []
-    while True:
+    # bands, then prefixes within those that are crowded, then pieces, which are compared however many texts they have
+    for meet in (_prefixed, lambda rest, _: _pieces(rest), None):
         members = _met(keys)
+        if meet is None:
+            members = members.withColumn("crowded", F.lit(False))
         wanted = small(members.select(F.col("t").alias("_t")).distinct())
         own = texts.join(wanted, F.col("t") == F.col("_t"), "left_semi").groupBy("t").agg(F.first("text").alias("text"))
         crowd = members.where("crowded")
         few = members.where("not crowded").join(own, "t").groupBy("key").applyInPandas(links, "u long, v long")
-        if crowd.isEmpty():
+        if meet is None or crowd.isEmpty():
             found.append(few)
             break
         found.append(stored(few, "shingle-links"))
         stars = stored(_stars(crowd, own), "shingle-stars")
         found.append(stars.where(F.col("near") >= SIMILARITY).select("u", "v"))
-        keys = stored(_finer(stars, crowd, reps), "shingle-finer")
-        if keys.isEmpty():
+        rest = stored(_rest(stars, crowd, reps), "shingle-rest")
+        if rest.isEmpty():
             break
+        keys = stored(meet(rest, own), "shingle-finer")
     return functools.reduce(DataFrame.unionByName, found)
 
 

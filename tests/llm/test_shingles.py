@@ -74,6 +74,34 @@ def test_crowded_bands_link_as_all_pairs_do(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_pairs_that_share_one_crowded_band_alone_are_linked(spark, monkeypatch):
+    """Also where no other band, and where the crowded group is one of fingerprints; and where the prefixes are crowded as well."""
+    monkeypatch.setattr(shingles, "CROWD", 2)
+    draw = random.Random(13)
+    common = words(draw, 40, 5000)
+    texts = []
+    for i in range(9):
+        text = f"{common} {words(draw, 80, 5000)}".split()
+        texts.append(" ".join(text))
+        for _ in range(i % 4):
+            text[50 + draw.randrange(70)] = f"z{draw.randrange(5000)}"
+            texts.append(" ".join(text))
+    sets = [parts(x) for x in texts]
+    label = brute(sets)
+    docs = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in enumerate(texts)], SCHEMA).cache()
+    hashes = {r.doc_id: r.t for r in docs.selectExpr("doc_id", f"{shingles.TEXT_HASH} as t").collect()}
+    for one_band in (True, False):
+        bands = [[7 if one_band and j == 3 else 1000 * i + j for j in range(shingles.BANDS)] for i in range(len(texts))]
+        made = [(hashes[i], 0 if not one_band else draw.randrange(1 << 62), len(sets[i]), bands[i]) for i in range(len(texts))]
+        reps = spark.createDataFrame(made, "t long, fp long, size long, bands array<long>")
+        links = {(r.u, r.v) for r in shingles.shingle_links(docs, reps).collect()}
+        own = list(range(len(texts)))
+        for u, v in links:
+            a, b = (own[next(i for i in hashes if hashes[i] == x)] for x in (u, v))
+            own = [min(a, b) if x in (a, b) else x for x in own]
+        assert own == label
+
+
 def test_links_connect_as_all_pairs_do():
     draw = random.Random(4)
     texts = [r[1] or "" for r in rows_of_copies()]
