@@ -1,8 +1,11 @@
 import math
 import os
 import random
+import re
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +268,42 @@ def test_blocks_of_entities_give_the_same_pairs(spark, monkeypatch):
     assert sorted(map(tuple, again.collect())) == whole
     assert sorted(map(tuple, retrieval.scored_pairs(asked, corpus, 20).collect())) == every
     assert "explode(cs" not in again._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_are_packed_as_gaps_and_keys_of_both_sides_shuffled_once(spark):
+    draw = random.Random(6)
+    lists = [sorted(draw.sample(range(draw.choice([50, 300, 10**6, 2**40])), draw.randrange(1, 40))) for _ in range(200)] + [[0], [127], [128, 2**31]]
+    packed = retrieval._packed(np.array(sum(lists, []), np.int64), np.array([len(x) for x in lists]))
+    for a, b in ((0, 203), (7, 60), (201, 203)):
+        values, lengths = retrieval._unpacked(packed.slice(a, b - a), np.int64)
+        assert values.tolist() == sum(lists[a:b], []) and lengths.tolist() == [len(x) for x in lists[a:b]]
+    corpus = frame(spark, [record("S2-1", "aa bb"), record("S3-2", "aa cc")], PREPARED)
+    asked = frame(spark, [record("S1-1", "aa"), record("S1-2", "cc")], PREPARED)
+    pairs, *_ = retrieval._number_pairs(asked, corpus, 5, 3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(country#\d+, field#\d+, key#\d+", plan)) == 1
+
+
+def test_shares_of_pairs_give_all_rows_and_leave_no_shuffles(spark, monkeypatch):
+    pairs = spark.createDataFrame([(f"S1-{i % 17}", f"S2-{i}") for i in range(90)], "s1 string, c string")
+    texts = spark.createDataFrame([(f"S2-{i}", "x" * i) for i in range(90)], "c string, txt string")
+    calls = []
+
+    def work(share):
+        calls.append(share.count())
+        return share.join(texts.hint("merge"), "c").groupBy("s1").agg(F.sum(F.length("txt")).alias("n"))
+
+    shuffles = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    whole = sorted(map(tuple, work(pairs).collect()))
+    monkeypatch.setattr(staging, "SHARE_ROWS", 20)
+    calls.clear()
+    got = staging.in_shares(pairs, work)
+    assert len(calls) == 5 and sum(calls) == 90 and max(calls) < 60
+    assert sorted(map(tuple, got.collect())) == whole
+    before = shuffles.size()
+    staging.staged(pairs.repartition(3, "c").groupBy("s1").count(), "once")
+    for _ in range(50):
+        if shuffles.size() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles.size() <= before
