@@ -315,3 +315,18 @@ def test_truth_among_pairs_is_what_truth_has_of_them(spark):
     pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-3"), ("S1-2", "S2-4"), ("S1-3", "S2-2"), ("S1-3", "S2-5")], "s1 string, c string")
     got = sorted(map(tuple, queries.known_pairs(pairs, asked, corpus).collect()))
     assert got == sorted(map(tuple, queries.truth(asked, corpus).join(pairs, ["s1", "c"], "left_semi").collect())) == [("S1-1", "S2-1"), ("S1-3", "S2-2")]
+
+
+def test_pairs_of_large_sides_are_named_in_their_blocks_and_not_shuffled(spark, monkeypatch):
+    for module in (staging, retrieval):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 10, raising=False)
+    draw = random.Random(8)
+    name = lambda: " ".join(draw.choice(["aa", "bb", "cc", "dd"]) for _ in range(3))
+    corpus = frame(spark, [record(f"S2-é{i}" + "x" * i, name()) for i in range(40)], PREPARED)
+    asked = frame(spark, [record(f"S1-{i}", name()) for i in range(30)], PREPARED)
+    pairs = retrieval.scored_pairs(asked, corpus, 100)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Join" not in above and "Exchange" not in above
+    want = {(a.entity_id, c.entity_id) for a in asked.collect() for c in corpus.collect() if {*a.name_core.split()} & {*c.name_core.split()}}
+    assert {(r.s1, r.c) for r in pairs.collect()} == want and len(want) > 500
